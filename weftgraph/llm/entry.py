@@ -4,23 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import chat, mixing
+from weftgraph.llm import chat, fingerprints, mixing, tokens
 from weftgraph.llm.shared import table
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_output(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_chat": op6_chat, "op10_mixing": op10_mixing}
+    return {"op4_tokens": op4_tokens, "op6_chat": op6_chat, "op8_fingerprints": op8_fingerprints, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
