@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import chat, fingerprints, mixing, substrings, tokens
+from weftgraph.llm import chat, fingerprints, mixing, neardup, substrings, tokens
 from weftgraph.llm.shared import table
 
 
@@ -19,6 +19,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "keep")
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
@@ -36,7 +40,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_substrings": op3_substrings, "op4_tokens": op4_tokens, "op6_chat": op6_chat, "op8_fingerprints": op8_fingerprints, "op10_mixing": op10_mixing}
+    return {"op1_minhash": op1_minhash, "op3_substrings": op3_substrings, "op4_tokens": op4_tokens, "op6_chat": op6_chat, "op8_fingerprints": op8_fingerprints, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
