@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import chat, fingerprints, mixing, neardup, substrings, tokens
+from weftgraph.llm import chat, decontamination, fingerprints, mixing, neardup, substrings, tokens
 from weftgraph.llm.shared import table
 
 
@@ -31,6 +31,10 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,7 +44,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op3_substrings": op3_substrings, "op4_tokens": op4_tokens, "op6_chat": op6_chat, "op8_fingerprints": op8_fingerprints, "op10_mixing": op10_mixing}
+    return {"op1_minhash": op1_minhash, "op3_substrings": op3_substrings, "op4_tokens": op4_tokens, "op6_chat": op6_chat, "op7_decontamination": op7_decontamination, "op8_fingerprints": op8_fingerprints, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
