@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import chat, decontamination, fingerprints, mixing, neardup, substrings, tokens, toxicity
+from weftgraph.llm import chat, decontamination, fingerprints, mixing, neardup, quality, substrings, tokens, toxicity
 from weftgraph.llm.shared import table
 
 
@@ -48,8 +48,13 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op3_substrings": op3_substrings, "op4_tokens": op4_tokens, "op5_toxicity": op5_toxicity, "op6_chat": op6_chat, "op7_decontamination": op7_decontamination, "op8_fingerprints": op8_fingerprints, "op10_mixing": op10_mixing}
+    return {"op1_minhash": op1_minhash, "op3_substrings": op3_substrings, "op4_tokens": op4_tokens, "op5_toxicity": op5_toxicity, "op6_chat": op6_chat, "op7_decontamination": op7_decontamination, "op8_fingerprints": op8_fingerprints, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
