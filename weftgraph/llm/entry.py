@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import chat, decontamination, fingerprints, mixing, neardup, quality, substrings, tokens, toxicity
+from weftgraph.llm import chat, decontamination, fingerprints, html, mixing, neardup, quality, substrings, tokens, toxicity
 from weftgraph.llm.shared import table
 
 
@@ -23,6 +23,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "keep")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
@@ -54,7 +58,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash": op1_minhash, "op3_substrings": op3_substrings, "op4_tokens": op4_tokens, "op5_toxicity": op5_toxicity, "op6_chat": op6_chat, "op7_decontamination": op7_decontamination, "op8_fingerprints": op8_fingerprints, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
+    return {"op1_minhash": op1_minhash, "op2_html": op2_html, "op3_substrings": op3_substrings, "op4_tokens": op4_tokens, "op5_toxicity": op5_toxicity, "op6_chat": op6_chat, "op7_decontamination": op7_decontamination, "op8_fingerprints": op8_fingerprints, "op9_quality": op9_quality, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
