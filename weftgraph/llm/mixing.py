@@ -17,10 +17,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from weftgraph.llm.shared import written
+
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
 PREFIX_CHARS = 3
+BROADCAST_PLACES = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 _BIG = "decimal(38,0)"
 
@@ -84,7 +87,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed:
     # an empty source has no words to repeat, so its division is skipped
     whole = F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(F.lit(0))
     place = place.withColumn("__whole", whole).withColumn("__rest", F.col("quota") - F.col("__whole") * F.col("source_size"))
-    place = place.select(F.col("source").alias("__s"), F.col("__prefix").alias("__p"), "__sum", "__before", "source_size", "target", "__whole", "__rest")
+    place = written(place.select(F.col("source").alias("__s"), F.col("__prefix").alias("__p"), "__sum", "__before", "source_size", "target", "__whole", "__rest"), "mix-places")
+    # at most sources x 16 ** prefix_chars rows; beyond the checked bound the join shuffles
+    if place.count() <= BROADCAST_PLACES:
+        place = F.broadcast(place)
     rows = rows.join(place, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__prefix") == F.col("__p")))
     edge = (F.col("__before") < F.col("__rest")) & (F.col("__before") + F.col("__sum") > F.col("__rest"))
     inside = F.when(F.col("__before") < F.col("__rest"), F.col("size")).otherwise(F.lit(0))

@@ -107,7 +107,7 @@ def _sketches(width: int, bands: int, rows: int):
             held = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(held), pa.array(band[some].reshape(-1).view(np.int64)))
             names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), names, lists], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), names, lists], names=["doc_id", "row", "node", "bands"])
 
     return run
 
@@ -176,17 +176,18 @@ def _unresolved(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: ``doc_id, node, class_id, keep``.
+    """One row per row of ``docs(doc_id, text)``: ``doc_id, row, class_id, keep``.
 
     Two documents are linked if the Jaccard likeness of their sets of ``width``-word shingles is at least
     ``similarity``; classes are the connected components, ``class_id`` the least doc_id in the class (null
-    only if all are null), ``node`` a 16-byte hash of the words, and ``keep`` marks the row of the least
-    doc_id (of repeated rows all are marked).  Null text is empty; documents without words are copies of
+    only if all are null), ``row`` a hash of the text, and ``keep`` marks the row of the least doc_id, of
+    several such the one of the least ``row`` (repeated rows are all marked).  Null text is empty; documents without words are copies of
     each other; shorter ones than a shingle are one shingle.  Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    all_ = written(docs.mapInArrow(_sketches(width, bands, rows), "doc_id long, node binary, bands array<long>"), "dup-bands")
+    texts = docs.withColumn("row", F.xxhash64("text"))
+    all_ = written(texts.mapInArrow(_sketches(width, bands, rows), "doc_id long, row long, node binary, bands array<long>"), "dup-bands")
     nodes = all_.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     places = nodes.select("node", "doc_id", F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").select("bucket", "centre")
@@ -216,7 +217,23 @@ def classes(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARIT
         some *= 4
         if open_.where(f"rank >= {low}").isEmpty():
             break
-    labelled = all_.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    out = labelled.join(least, "label")
-    return out.select("doc_id", "node", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"))
+    labelled = all_.select("doc_id", "row", "node").join(labels, "node", "left").select("doc_id", "row", F.coalesce("label", "node").alias("label"))
+    known = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = labelled.groupBy("label").agg(F.min(known).alias("first"))
+    out = labelled.join(first, "label")
+    keep = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+    return out.select("doc_id", "row", F.col("first.doc_id").alias("class_id"), keep.alias("keep"))
+
+
+def without_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each class: the least doc_id's; all columns stay.  Options are those of ``classes``."""
+    found = written(classes(docs, **options), "dup-classes")
+    gone = found.where("not keep").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    twice = found.where("keep").groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
+    few = lambda t: F.broadcast(t) if t.count() <= BROADCAST_IDS else t
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__row"))
+    rows = docs.join(few(gone), same, "left_anti")
+    if twice.isEmpty():
+        return rows
+    twice = few(twice)
+    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
