@@ -11,23 +11,49 @@ several attempts counts, and any store that Spark can reach will do.
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from weftgraph.llm.decontamination import lowered
 from weftgraph.llm.shared import partitions, written
-from weftgraph.llm.words import buffers, chunks
+from weftgraph.llm.words import IS_WORD, U, buffers, chunks, spans, word_hashes
 
 END = 2
-TERMINALS = 1 << 16
 SHARD_IDS = 1 << 21
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 8, 2000, 16
-CACHED_WORDS = 400_000
+ROUNDS, RULES_A_ROUND, LEAST_COUNT = 6, 2600, 16
+#: Size of the table of known pieces (a power of two), and of the cache of other words.
+SLOTS = 1 << 22
+CACHED_WORDS = 100_000
+#: The rules of the vocabulary file that the fast path reproduces.
+CUTS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
+#: Bytes that send their word through the full tokenizer: controls, ' and <, and lead bytes but C3.
+ODD = np.zeros(256, bool)
+ODD[:0x20] = ODD[[0x27, 0x3C, 0x7F]] = True
+ODD[0xC0:] = True
+ODD[0xC3] = False
+#: 0 white space, 1 letter, 2 digit, 3 other
+KIND = np.full(256, 3, np.uint8)
+KIND[~IS_WORD] = 0
+KIND[0x41:0x5B] = KIND[0x61:0x7B] = KIND[0x80:] = 1
+KIND[0x30:0x3A] = 2
 MAGIC = b"WRP1"
 HEADER = struct.Struct("<4sIIIIII")
 SHARDS = "part long, seq long, before long, n_tokens long, payload binary"
@@ -35,35 +61,142 @@ DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, one call per distinct word.
-
-    The vocabulary drops white space and merges only inside words, and its normaliser never joins two
-    words, so the ids of a text are those of its words (split at ASCII white space; other white space is
-    left to the tokenizer) one after the other.  The cache of words is bounded and emptied when full.
+    """Ids of whole texts by the tokenizers library, called once per distinct piece.
+
+    The vocabulary drops white space, lowers, and merges only inside the pieces its pattern cuts: runs of
+    letters, single digits, runs of anything else.  Words of ASCII and Latin-1 letters are cut, lowered
+    and hashed for a whole batch in numpy; their pieces' ids stand in an open-addressing table (key:
+    64-bit hash and a tag of length and outer bytes) that is emptied when half full.  A word with
+    anything else in it (other scripts, apostrophes, control characters, a ``<`` that could begin a
+    special token) goes whole through the full tokenizer.  A tokenizer with other normalising or cutting
+    rules than these encodes each text whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
-
-    def __call__(self, raw: bytes) -> np.ndarray:
-        words, known = raw.split(), self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 10_000):
-                some = new[at : at + 10_000]
-                coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-                known.update(zip(some, (e.ids for e in coded), strict=True))
-        out: list[int] = []
-        for w in words:
-            out += known[w]
-        out.append(END)
-        return np.array(out, np.uint32)
+        self.full = Tokenizer.from_file(path)
+        self.vocabulary = self.full.get_vocab_size()
+        rules = json.loads(Path(path).read_text())
+        self.cuts = [rules["normalizer"], rules["pre_tokenizer"]] == CUTS
+        self.pieces = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": CUTS[1]["pretokenizers"][1]}))
+        self.words: dict[bytes, list[int]] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.tags = np.zeros(SLOTS, U), np.zeros(SLOTS, np.uint32)
+        self.first, self.size = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.pool, self.pooled, self.held = np.zeros(1 << 20, np.uint32), 0, 0
+
+    def _find(self, keys: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int64)
+        todo, slot = np.arange(len(keys)), (keys >> U(20)).astype(np.int64) & (SLOTS - 1)
+        while len(todo):
+            there = self.keys[slot]
+            same = (there == keys[todo]) & (self.tags[slot] == tags[todo])
+            out[todo[same]] = slot[same]
+            go = ~same & (there != 0)
+            todo, slot = todo[go], (slot[go] + 1) & (SLOTS - 1)
+        return out
+
+    def _put(self, keys: np.ndarray, tags: np.ndarray, ids: list[list[int]]) -> None:
+        size = np.array([len(x) for x in ids], np.int32)
+        flat = np.array([y for x in ids for y in x], np.uint32)
+        if self.pooled + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.pooled], np.zeros(max(len(flat), len(self.pool)), np.uint32)])
+        self.pool[self.pooled : self.pooled + len(flat)] = flat
+        first = (self.pooled + np.cumsum(size) - size).astype(np.int32)
+        self.pooled, self.held = self.pooled + len(flat), self.held + len(keys)
+        todo, slot = np.arange(len(keys)), (keys >> U(20)).astype(np.int64) & (SLOTS - 1)
+        while len(todo):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            s, one = np.unique(slot[free], return_index=True)
+            k = todo[free[one]]
+            self.keys[s], self.tags[s], self.first[s], self.size[s] = keys[k], tags[k], first[k], size[k]
+            stay = np.ones(len(todo), bool)
+            stay[free[one]] = False
+            todo, slot = todo[stay], slot[stay]
+            slot = np.where(self.keys[slot] != 0, (slot + 1) & (SLOTS - 1), slot)
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the column's texts, each text's followed by END, and how many each has."""
+        data, offsets = buffers(column)
+        n_docs = len(offsets) - 1
+        if not self.cuts:
+            raw = data.tobytes()
+            ids = [[*self.full.encode(raw[a:b].decode(), add_special_tokens=False).ids, END] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return np.array([y for x in ids for y in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+        starts, ends, firsts = spans(data, offsets)
+        if not len(starts):
+            return np.full(n_docs, END, np.uint32), np.ones(n_docs, np.int64)
+        low = lowered(data)
+        odd = ODD[data]
+        tail = (data[1:] & 0xC0) == 0x80
+        after = data[:-1] == 0xC3
+        odd[1:] |= (tail != after) | (after & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+        odd[-1] |= data[-1] == 0xC3
+        odd[0] |= (data[0] & 0xC0) == 0x80
+        seen = np.concatenate([[0], np.cumsum(odd)])
+        whole = seen[ends] > seen[starts]
+        kind = KIND[low]
+        edge = np.ones(len(data), bool)
+        edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        edge &= kind > 0
+        edge[starts] = True
+        at = np.flatnonzero(edge)
+        word = np.searchsorted(starts, at, "right") - 1
+        keep = ~whole[word] | (at == starts[word])
+        at, word = at[keep], word[keep]
+        to = ends[word]
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        to[inner] = at[inner + 1]
+        whole = whole[word]
+        keys = word_hashes(low, at, to)
+        keys[keys == 0] = U(1)
+        tags = ((to - at).astype(np.uint32) << np.uint32(16)) ^ (low[at].astype(np.uint32) << np.uint32(8)) ^ low[to - 1]
+        slot = np.full(len(at), -1, np.int64)
+        plain = np.flatnonzero(~whole)
+        slot[plain] = self._find(keys[plain], tags[plain])
+        new = plain[slot[plain] < 0]
+        if len(new):
+            _, one = np.unique(keys[new], return_index=True)
+            if self.held + len(one) > SLOTS // 2:
+                self._empty()
+                new = plain
+                _, one = np.unique(keys[new], return_index=True)
+            some = new[one]
+            raw = low.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(at[some].tolist(), to[some].tolist(), strict=True)]
+            self._put(keys[some], tags[some], [e.ids for e in self.pieces.encode_batch_fast(texts, add_special_tokens=False)])
+            slot[new] = self._find(keys[new], tags[new])
+            if (slot[new] < 0).any():
+                raise ValueError("two pieces of one batch have the same hash")
+        first, size = self.first[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        pool = self.pool
+        other = np.flatnonzero(whole)
+        if len(other):
+            raw = data.tobytes()
+            words = [raw[a:b] for a, b in zip(at[other].tolist(), to[other].tolist(), strict=True)]
+            missing = list({w for w in words if w not in self.words})
+            if len(self.words) + len(missing) > CACHED_WORDS:
+                self.words.clear()
+                missing = list(set(words))
+            coded = self.full.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
+            self.words.update(zip(missing, (e.ids for e in coded), strict=True))
+            ids = [self.words[w] for w in words]
+            size[other] = [len(x) for x in ids]
+            first[other] = self.pooled + np.cumsum(size[other]) - size[other]
+            pool = np.concatenate([pool[: self.pooled], np.array([y for x in ids for y in x], np.uint32)])
+        # a document's END stands after its last piece
+        doc = np.searchsorted(firsts, word, "right") - 1
+        run = np.cumsum(size)
+        counts = np.bincount(doc, size, n_docs).astype(np.int64) + 1
+        out = np.empty(counts.sum(), np.uint32)
+        out[np.arange(run[-1]) + np.repeat(doc, size)] = pool[np.arange(run[-1]) + np.repeat(first - (run - size), size)]
+        out[np.cumsum(counts) - 1] = END
+        return out, counts
 
 
 _encoders: dict[str, Encoder] = {}
@@ -75,17 +208,23 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def compress(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rules (left, right), symbols, and the index of each document's first symbol (one more at the end)."""
-    seq = ids.astype(np.uint64)
+def compress(ids: np.ndarray, counts: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rules (left, right), symbols, and the index of each document's first symbol (one more at the end).
+
+    Symbols from ``terminals`` on are nonterminals, rule k of them ``terminals + k``.
+    """
+    # 16-bit symbols make 32-bit pairs, which sort twice as fast
+    small = terminals + ROUNDS * RULES_A_ROUND <= 1 << 16
+    one, pair, half = (np.uint16, np.uint32, 16) if small else (np.uint32, np.uint64, 32)
+    seq = ids.astype(one)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(counts) - 1] = True
     rules: list[np.ndarray] = []
-    names = TERMINALS
+    names = terminals
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        key = (seq[:-1] << np.uint64(32)) | seq[1:]
+        key = (seq[:-1].astype(pair) << pair(half)) | seq[1:]
         inner = ~last[:-1]
         some = np.sort(key[inner])
         if not len(some):
@@ -98,13 +237,14 @@ def compress(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         often = often[np.argsort(-count[often], kind="stable")[:RULES_A_ROUND]]
         chosen = some[first[often]]
         # a small direct table finds the few chosen pairs; of pairs that share a slot the most frequent stays
-        slots = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        table = np.full(1 << 20, len(chosen), np.int32)
+        slots = lambda k: ((k.astype(U) * U(0x9E3779B97F4A7C15)) >> U(44)).astype(np.int32)
+        table = np.full(1 << 20, len(chosen), np.int16)
         at = slots(chosen)
         table[at[::-1]] = np.arange(len(chosen) - 1, -1, -1)
         kept = table[at] == np.arange(len(chosen))
         rank = table[slots(key)]
-        hit = np.flatnonzero((np.append(chosen, np.uint64(0))[rank] == key) & (rank < len(chosen)) & inner)
+        hit = np.flatnonzero((rank < len(chosen)) & inner)
+        hit = hit[chosen[rank[hit]] == key[hit]]
         if not len(hit):
             break
         # of overlapping pairs take every other one from the left
@@ -113,38 +253,34 @@ def compress(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         hit = hit[(hit - run) % 2 == 0]
         number = np.cumsum(kept) - 1
         pairs = chosen[kept]
-        rules.append(np.stack([(pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1))
-        seq[hit] = (names + number[rank[hit]]).astype(np.uint64)
+        rules.append(np.stack([pairs >> pair(half), pairs & pair((1 << half) - 1)], 1).astype(np.uint32))
+        seq[hit] = (names + number[rank[hit]]).astype(one)
         names += len(pairs)
         last[hit] = last[hit + 1]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq, last = seq[keep], last[keep]
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
-    return table, seq.astype(np.uint32), np.concatenate([[0], np.flatnonzero(last) + 1])
+    return table, seq, np.concatenate([[0], np.flatnonzero(last) + 1])
 
 
-def pack(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
+def pack(doc_ids: list, counts: np.ndarray, ids: np.ndarray, terminals: int) -> bytes:
     """One shard: header, rules, expansion lengths, documents (id, known or not, first symbol, first id), symbols, checksum."""
-    rules, symbols, firsts = compress(ids, counts)
-    lengths = np.ones(TERMINALS + len(rules), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        lengths[TERMINALS + i] = lengths[a] + lengths[b]
-    # symbols below the terminals' range keep 16 bits where the shard's largest id and rules allow it
-    used = int(ids.max()) + 1 if len(ids) else 0
-    shift = TERMINALS - used if used + len(rules) <= 1 << 16 else 0
-    width = 2 if shift or not len(rules) and used <= 1 << 16 else 4
-    stored = np.where(symbols >= TERMINALS, symbols - np.uint32(shift), symbols).astype(f"<u{width}")
+    rules, symbols, firsts = compress(ids, counts, terminals)
+    lengths = [1] * terminals
+    for a, b in rules.tolist():
+        lengths.append(lengths[a] + lengths[b])
+    width = symbols.itemsize
     body = b"".join(
         [
-            HEADER.pack(MAGIC, len(counts), len(rules), len(symbols), len(ids), shift, width),
+            HEADER.pack(MAGIC, len(counts), len(rules), len(symbols), len(ids), terminals, width),
             rules.astype("<u4").tobytes(),
-            lengths[TERMINALS:].astype("<u4").tobytes(),
+            np.array(lengths[terminals:], "<u4").tobytes(),
             np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
             np.array([x is not None for x in doc_ids], np.uint8).tobytes(),
             firsts.astype("<u4").tobytes(),
             np.concatenate([[0], np.cumsum(counts)]).astype("<u4").tobytes(),
-            stored.tobytes(),
+            symbols.astype(f"<u{width}").tobytes(),
         ]
     )
     return body + struct.pack("<I", zlib.crc32(body))
@@ -157,7 +293,7 @@ class Shard:
         body = memoryview(payload)[:-4]
         if zlib.crc32(body) != struct.unpack("<I", payload[-4:])[0]:
             raise ValueError("shard checksum differs")
-        magic, n_docs, n_rules, n_symbols, self.n_ids, shift, width = HEADER.unpack_from(body)
+        magic, n_docs, n_rules, n_symbols, self.n_ids, self.terminals, width = HEADER.unpack_from(body)
         if magic != MAGIC:
             raise ValueError("not a shard")
         at = HEADER.size
@@ -174,8 +310,7 @@ class Shard:
         self.doc_ids = [x if known else None for x, known in zip(ids, take(np.uint8, n_docs).tolist(), strict=True)]
         self.firsts = take("<u4", n_docs + 1).astype(np.int64)
         self.starts = take("<u4", n_docs + 1).astype(np.int64)
-        symbols = take(f"<u{width}", n_symbols).astype(np.int64)
-        self.symbols = np.where(symbols >= TERMINALS - shift, symbols + shift, symbols) if n_rules else symbols
+        self.symbols = take(f"<u{width}", n_symbols).astype(np.int64)
         self._flat()
 
     def _flat(self) -> None:
@@ -185,19 +320,19 @@ class Shard:
         for i, (a, b) in enumerate(self.rules.tolist()):
             to = starts[i]
             for x in (a, b):
-                if x < TERMINALS:
+                if x < self.terminals:
                     out[to] = x
                     to += 1
                 else:
-                    j = x - TERMINALS
+                    j = x - self.terminals
                     n = self.lengths[j]
                     out[to : to + n] = out[starts[j] : starts[j] + n]
                     to += n
         self.expansions, self.expansion_starts = out, starts
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        rule = symbols >= TERMINALS
-        index = np.where(rule, symbols - TERMINALS, 0)
+        rule = symbols >= self.terminals
+        index = np.where(rule, symbols - self.terminals, 0)
         sizes = np.where(rule, self.lengths[index] if len(self.lengths) else 1, 1)
         ends = np.cumsum(sizes)
         out = np.empty(ends[-1] if len(ends) else 0, np.uint32)
@@ -212,7 +347,7 @@ class Shard:
 
     def ids(self, k: int, a: int = 0, b: int | None = None) -> np.ndarray:
         symbols = self.symbols[self.firsts[k] : self.firsts[k + 1]]
-        sizes = np.where(symbols >= TERMINALS, self.lengths[np.maximum(symbols - TERMINALS, 0)] if len(self.lengths) else 1, 1)
+        sizes = np.where(symbols >= self.terminals, self.lengths[np.maximum(symbols - self.terminals, 0)] if len(self.lengths) else 1, 1)
         ends = np.cumsum(sizes)
         b = int(ends[-1]) if b is None else min(b, int(ends[-1]))
         if a >= b:
@@ -227,23 +362,30 @@ def _shards(path: str):
         encode, part = encoder(path), TaskContext.get().partitionId()
         seq = before = held = 0
         docs: list = []
+        counts: list[np.ndarray] = []
         ids: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            payload = pack(docs, np.array([len(x) for x in ids]), np.concatenate(ids))
+            payload = pack(docs, np.concatenate(counts), np.concatenate(ids), encode.vocabulary)
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((part, pa.int64()), (seq, pa.int64()), (before, pa.int64()), (held, pa.int64()), (payload, pa.binary()))], names=["part", "seq", "before", "n_tokens", "payload"])
 
         for batch in chunks(batches, "text"):
-            data, offsets = buffers(batch.column("text"))
-            raw = data.tobytes()
-            for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                one = encode(raw[a:b])
-                if held and held + len(one) > SHARD_IDS:
+            some, n = encode(batch.column("text"))
+            names, ends, at = batch.column("doc_id").to_pylist(), np.cumsum(n), 0
+            while at < len(n):
+                done = int(ends[at - 1]) if at else 0
+                to = int(np.searchsorted(ends, done + SHARD_IDS - held, "right"))
+                if to == at and not held:
+                    to = at + 1
+                if to > at:
+                    docs += names[at:to]
+                    counts.append(n[at:to])
+                    ids.append(some[done : ends[to - 1]])
+                    held += int(ends[to - 1]) - done
+                    at = to
+                if at < len(n):
                     yield flush()
-                    seq, before, held, docs, ids = seq + 1, before + held, 0, [], []
-                docs.append(doc)
-                ids.append(one)
-                held += len(one)
+                    seq, before, held, docs, counts, ids = seq + 1, before + held, 0, [], [], []
         if docs:
             yield flush()
 
