@@ -49,7 +49,9 @@ def composite(prefix: str, names: tuple[str, ...]) -> Kind:
     pattern = re.compile(rf"<{re.escape(prefix)}/" + "-".join([r"(-?\d+)"] * len(names)) + ">")
 
     def render(c: Column) -> Column:
-        return F.concat(F.lit(f"<{prefix}/"), F.concat_ws("-", *[c[n].cast("string") for n in names]), F.lit(">"))
+        # concat, unlike concat_ws, is null for an unbound value
+        parts = [x for n in names for x in (F.lit("-"), c[n].cast("string"))][1:]
+        return F.concat(F.lit(f"<{prefix}/"), *parts, F.lit(">"))
 
     def parse(term: str) -> tuple[int, ...] | None:
         m = pattern.fullmatch(term)
