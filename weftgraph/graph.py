@@ -66,10 +66,18 @@ class Graph:
     def stored_rows(self) -> DataFrame:
         return self.stored if self.stored is not None else self.spark.createDataFrame([], "s string, p string, o string")
 
+    @staticmethod
+    def unpivoted(source: Source, predicates: list[str], rows: DataFrame | None = None) -> DataFrame:
+        """``s, p, o`` of several predicates of one relation, as terms, in one scan of it."""
+        pairs = [F.struct(F.lit(p).alias("p"), source.attributes[p].kind.render(source.attributes[p].value()).alias("o")) for p in predicates]
+        out = (source.frame() if rows is None else rows).select(source.kind.render(source.key()).alias("s"), F.explode(F.array(*pairs)).alias("t"))
+        return out.select("s", "t.p", "t.o").where("o is not null")
+
     def triples(self, predicates: list[str] | None = None) -> DataFrame:
         """``s, p, o`` of all (or some) predicates, as terms."""
         wanted = self.predicates() if predicates is None else predicates
-        parts = [self.predicate(p).select("s", F.lit(p).alias("p"), "o") for p in wanted if self.source_of(p) is not None]
+        held = {source.name: (source, [p for p in source.attributes if p in wanted]) for source in self.sources}
+        parts = [self.unpivoted(source, names) for source, names in held.values() if names]
         if self.stored is not None:
             rows = self.stored.select("s", "p", "o")
             parts.append(rows if predicates is None else rows.where(F.col("p").isin(list(predicates))))

@@ -25,8 +25,6 @@ from weftgraph.sparql.ast import Ask, Bind, Construct, Expr, Filter, Group, Minu
 from weftgraph.sparql.parser import SparqlError, parse
 from weftgraph.terms import TERM
 
-NODES = "\0nodes"
-
 
 class Compiler:
     def __init__(self, graph: Graph, match: str = "homo", filter_mode: str = "lexical", stats: Stats | None = None, pu_variables: bool = True):
@@ -178,23 +176,28 @@ class Compiler:
 
     def scan_any(self, p: Pattern, without: list[str] | None = None) -> Rel:
         """A predicate variable: every predicate whose ends can be the pattern's constants."""
+        ends = [("s", p.s), ("p", p.p), ("o", p.o)]
         parts = []
         for source in self.graph.sources:
-            if not is_var(p.s) and source.kind.parse(p.s) is None:
-                continue
-            for name, a in source.attributes.items():
-                if name in (without or ()) or not is_var(p.o) and a.kind.parse(p.o) is None:
+            df = source.frame()
+            if not is_var(p.s):
+                condition = source.kind.equals(source.key(), p.s)
+                if condition is None:
                     continue
-                rel = self.scan_table(source, [Pattern(p.s, name, p.o)]).as_terms()
-                extra = [F.lit(name).alias(column_name(p.p))] if p.p not in (p.s, p.o) else []
-                df = rel.df.select(*[F.col(column_name(v)) for v in rel.kinds], *extra)
-                if not extra:
-                    df = df.where(F.col(column_name(p.p)) == name)
-                parts.append(Rel(df, dict.fromkeys([*rel.kinds, p.p], TERM)))
+                df = df.where(condition)
+            held = [n for n in source.attributes if n not in (without or ())]
+            if not is_var(p.o):
+                # the disjunction can be pushed to the scan, the exact test follows on the terms
+                tests = {n: source.attributes[n].kind.equals(source.attributes[n].value(), p.o) for n in held}
+                held = [n for n in held if tests[n] is not None]
+                if held:
+                    df = df.where(reduce(lambda a, b: a | b, [tests[n] for n in held]))
+            if held:
+                parts.append(self._bound(Graph.unpivoted(source, held, df), ends))
         if self.graph.stored is not None:
             rows = self.graph.stored
             rows = rows.where(~F.col("p").isin(list(without))) if without else rows
-            parts.append(self._bound(rows, [("s", p.s), ("p", p.p), ("o", p.o)]))
+            parts.append(self._bound(rows, ends))
         names = sorted({t for t in (p.s, p.p, p.o) if is_var(t)})
         return reduce(union, parts) if parts else self.nothing(names)
 
