@@ -90,7 +90,7 @@ FUNCTIONS = {
     "strstarts": _two(lambda a, b: a.startswith(b), "boolean"),
     "strends": _two(lambda a, b: a.endswith(b), "boolean"),
     "contains": _two(lambda a, b: a.contains(b), "boolean"),
-    "strbefore": _two(lambda a, b: F.when(F.instr(a, b) > 0, F.substring_index(a, b, 1)).otherwise(""), "string"),
+    "strbefore": _two(lambda a, b: F.when(F.instr(a, b) > 0, F.call_function("substring_index", a, b, F.lit(1))).otherwise(""), "string"),
     "abs": _one(F.abs, "double", "number"),
     "ceil": _one(F.ceil, "int", "number"),
     "floor": _one(F.floor, "int", "number"),

@@ -151,6 +151,32 @@ sparql(
     "SELECT ?n ?k WHERE { ?n <n_regionkey> <region/0> { SELECT ?n (COUNT(*) AS ?k) WHERE { ?s <s_nationkey> ?n } GROUP BY ?n } }",
     f"SELECT {_e('nation', 's_nationkey')} AS n, '\"' || count(*) || '\"' AS k FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 0 GROUP BY s_nationkey",
 )
+sparql(
+    "ext_string_functions",
+    'SELECT (UCASE(?x) AS ?u) (STRBEFORE(?x, "#") AS ?a) (STRAFTER(?x, "#") AS ?b) (REPLACE(?x, "[0-9]", "N") AS ?r) (CONCAT(STR(?p), "/", ?x) AS ?c) (ENCODE_FOR_URI(?x) AS ?e) WHERE { ?p <p_brand> ?x . FILTER(REGEX(?x, "^brand#[12]", "i") && STRENDS(?x, "3")) }',
+    "SELECT upper(p_brand) AS u, split_part(p_brand, '#', 1) AS a, split_part(p_brand, '#', 2) AS b, regexp_replace(p_brand, '[0-9]', 'N', 'g') AS r, 'part/' || p_partkey || '/' || p_brand AS c, url_encode(p_brand) AS e FROM part WHERE regexp_matches(p_brand, '(?i)^brand#[12]') AND p_brand LIKE '%3'",
+)
+sparql(
+    "ext_numbers",
+    "SELECT ?c (ABS(?b) AS ?a) (CEIL(?b) AS ?u) (FLOOR(?b) AS ?d) (ROUND(?b) AS ?r) (?b * 2 - 1 AS ?x) WHERE { ?c <c_acctbal> ?b ; <c_nationkey> <nation/3> . FILTER(?b / 2 > -200) }",
+    f"SELECT {_e('customer', 'c_custkey')} AS c, abs(c_acctbal) AS a, ceil(c_acctbal)::BIGINT AS u, floor(c_acctbal)::BIGINT AS d, floor(c_acctbal + 0.5)::BIGINT AS r, c_acctbal * 2 - 1 AS x FROM customer WHERE c_nationkey = 3 AND c_acctbal / 2 > -200",
+)
+sparql(
+    "ext_dates",
+    "SELECT ?o (YEAR(?d) AS ?y) (MONTH(?d) AS ?m) (DAY(?d) AS ?k) (HOURS(?d) AS ?h) WHERE { ?o <o_orderdate> ?d ; <o_custkey> <customer/7> }",
+    f"SELECT {_e('order', 'o_orderkey')} AS o, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m, day(o_orderdate)::INTEGER AS k, hour(o_orderdate)::INTEGER AS h FROM orders WHERE o_custkey = 7",
+)
+sparql("ext_hashes", "SELECT (MD5(?x) AS ?m) (SHA256(?x) AS ?s) (SHA1(?x) AS ?t) WHERE { ?n <n_name> ?x }", "SELECT md5(n_name) AS m, sha256(n_name) AS s, sha1(n_name) AS t FROM nation")
+sparql(
+    "ext_conditionals",
+    'SELECT ?d (IF(BOUND(?q), ?q, "none") AS ?x) (COALESCE(?q, ?l) AS ?y) WHERE { ?d <lang> ?l . OPTIONAL { ?d <quality> ?q } FILTER(?l IN ("de", "es") && ISLITERAL(?l) && ISIRI(?d)) }',
+    f"SELECT {_e('doc', 'doc_id')} AS d, coalesce({_t('quality')}, '\"none\"') AS x, coalesce({_t('quality')}, {_t('lang')}) AS y FROM documents LEFT JOIN labels USING (doc_id) WHERE lang IN ('de', 'es')",
+)
+sparql(
+    "ext_path_negated",
+    "SELECT ?x WHERE { <nation/3> !(<n_regionkey>|^<c_nationkey>) ?x }",
+    f"SELECT {_t('n_name')} AS x FROM nation WHERE n_nationkey = 3 UNION ALL SELECT {_e('supplier', 's_suppkey')} FROM supplier WHERE s_nationkey = 3",
+)
 
 
 @frame("ext_construct", f"SELECT {_e('customer', 'o_custkey')} AS s, '<placed>' AS p, {_e('order', 'o_orderkey')} AS o FROM orders WHERE o_orderstatus = 'P'")
