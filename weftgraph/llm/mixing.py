@@ -103,7 +103,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed:
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row of ``mix`` as often as it is taken; a last part holds the first words only."""
+    """The mix itself: each row of ``mix`` as often as it is taken.
+
+    A last part holds the first words only, joined by single spaces, and has its own ``n_chars`` if there
+    is such a column.
+    """
     size, taken = F.col("size"), F.col("taken")
     times = F.when(size > 0, F.expr("taken div size")).otherwise(F.lit(0))
     part = F.when(size > 0, taken % size).otherwise(F.lit(0))
@@ -111,7 +115,10 @@ def repeated(mixed: DataFrame) -> DataFrame:
     rows = rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     last = (F.col("__i") == F.col("__n")) & (F.col("__part") > 0)
     words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("__part").cast("int"))
-    return rows.withColumn("text", F.when(last, F.array_join(words, " ")).otherwise(F.col("text"))).drop("__part", "__n", "__i")
+    rows = rows.withColumn("text", F.when(last, F.array_join(words, " ")).otherwise(F.col("text")))
+    if "n_chars" in rows.columns:
+        rows = rows.withColumn("n_chars", F.when(last, F.char_length("text").cast(rows.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.drop("__part", "__n", "__i")
 
 
 ORACLE = rf"""
