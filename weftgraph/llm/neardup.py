@@ -7,10 +7,9 @@ all registers'.  Two registers agree with the probability Jaccard likeness of th
 equal weights: the Jaccard likeness).  All documents of a batch run their rounds together in numpy.
 
 Documents of equal words are one node.  Nodes that share a band are candidates, but a bucket's pairs are
-never all listed: its least node is compared with every other one, verified links are joined to
-classes, and only nodes of one bucket that are still in different classes are compared further, by
-growing ranks until no such pair is left.  So a bucket of near copies costs one comparison each, and no
-link is lost to a cap.
+never listed: its least node is compared with every other one, verified links are joined to classes, and
+then those outside the bucket's largest class are compared with all its members.  So a bucket of near
+copies costs little more than one comparison each, and no link between classes is lost to a cap.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.components import components
 from weftgraph.llm.shared import partitions, written
@@ -32,6 +31,8 @@ BANDS, ROWS = 24, 5
 BROADCAST_IDS = 1_000_000
 #: Members compared with one copy of a bucket's centre before it is sent to another task too.
 SALT_ROWS = 512
+#: Members outside a bucket's main class that one task holds.
+BLOCK = 512
 SECOND = 0xD6E8FEB86659FD93
 
 
@@ -166,13 +167,78 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(_verified(similarity), "a binary, b binary")
 
 
-def _unresolved(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, but for the centre, of buckets whose nodes are in more than one class: with class and rank."""
-    label = F.coalesce("label", "node")
-    held = buckets.join(labels, "node", "left").select("bucket", "node", "centre", label.alias("label"))
-    open_ = held.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
-    rank = F.row_number().over(W.partitionBy("bucket").orderBy("node"))
-    return held.join(open_, "bucket").where("node <> centre").select("bucket", "node", "label", rank.alias("rank"))
+def _exact(similarity: float):
+    """Links between classes inside a bucket: every member against a block of members outside its main class.
+
+    A group's first rows (``other`` false) are the block, at most a few times BLOCK sets; the bucket's
+    members then stream past.  Only links that join two classes for the first time are put out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: tuple | None = None
+        nodes: list[bytes] = []
+        labels: list[bytes] = []
+        held: list[np.ndarray] = []
+        ready = False
+        joined: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while (y := joined.get(x, x)) != x:
+                joined[x] = joined.get(y, y)
+                x = y
+            return x
+
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "block", "other", "node", "label")]
+            sets = batch.column("set")
+            for i, (bucket, block, other, node, label) in enumerate(zip(*columns, strict=True)):
+                if (bucket, block) != group:
+                    group, nodes, labels, held, joined, ready = (bucket, block), [], [], [], {}, False
+                its = np.frombuffer(sets[i].as_buffer(), "<u4")
+                if not other:
+                    nodes.append(node)
+                    labels.append(label)
+                    held.append(its)
+                    continue
+                if not ready:
+                    sizes = np.array([len(x) for x in held], np.int64)
+                    flat = np.concatenate(held) if held else np.empty(0, np.uint32)
+                    order = np.argsort(flat, kind="stable")
+                    flat, owner, ready = flat[order], np.repeat(np.arange(len(held)), sizes)[order], True
+                low, high = np.searchsorted(flat, its, "left"), np.searchsorted(flat, its, "right")
+                n = high - low
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                common = np.bincount(owner[at], minlength=len(nodes))
+                for j in np.flatnonzero(common >= similarity * (sizes + len(its) - common) - 1e-9).tolist():
+                    x, y = root(label), root(labels[j])
+                    if x != y:
+                        joined[x] = y
+                        out.append((node, nodes[j]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def between_classes(buckets: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` between different classes of one bucket, after the centres' links made the classes.
+
+    Of any two members in different classes at least one is outside the bucket's largest class, so
+    comparing those with all members misses nothing.  They go in blocks of BLOCK, the members past each
+    block, so a bucket of any size is compared in tasks of bounded memory, and no pair becomes a row.
+    """
+    n = partitions(buckets.sparkSession)
+    held = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    sizes = held.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    open_ = sizes.groupBy("bucket").agg(F.max_by("label", "n").alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    open_ = open_.withColumn("blocks", F.ceil(F.col("others") / BLOCK).cast("int"))
+    held = held.join(open_, "bucket")
+    block = held.where("label <> main").select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("other"), "node", "label")
+    past = held.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("other"), "node", "label")
+    rows = block.unionByName(past).join(sets, "node")
+    rows = rows.repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "other")
+    return rows.select("bucket", "block", "other", "node", "label", "set").mapInArrow(_exact(similarity), "a binary, b binary")
 
 
 def classes(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -202,21 +268,9 @@ def classes(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARIT
     pairs = buckets.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = written(verify(pairs, sets, similarity), "dup-links")
     labels = components(links)
-    low, some = 1, 16
-    while True:
-        open_ = written(_unresolved(buckets, labels).where(f"rank >= {low}"), "dup-open")
-        left = open_.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("rank").alias("rb")).where(f"rb < {low + some}")
-        pairs = open_.join(left, "bucket").where("rank > rb and label <> lb").select(F.col("node").alias("a"), "b").distinct()
-        pairs = written(pairs, "dup-pairs")
-        if not pairs.isEmpty():
-            more = written(verify(pairs, sets, similarity), "dup-links")
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = components(links)
-        low += some
-        some *= 4
-        if open_.where(f"rank >= {low}").isEmpty():
-            break
+    more = written(between_classes(buckets, labels, sets, similarity), "dup-links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     labelled = all_.select("doc_id", "row", "node").join(labels, "node", "left").select("doc_id", "row", F.coalesce("label", "node").alias("label"))
     known = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     first = labelled.groupBy("label").agg(F.min(known).alias("first"))
