@@ -1,12 +1,13 @@
 """Main text of web pages: named boilerplate goes, then subtrees that a host repeats on many pages.
 
-Every block element's subtree is hashed (tags, text and structure, no attributes).  Spark counts for each
-host and hash the distinct pages, where pages of the same longest block count once, so mirrored copies of
-an article do not make its paragraphs look like a template.  A subtree on at least LEAST_PAGES such pages
-and a share of LEAST_SHARE of the host's is template and goes, with one exception: text blocks
-(paragraphs, headings, list items and the like) inside an ``article`` or ``main`` element stay, because
-articles do quote the same passages.  What counts by name (navigation, footers, forms, adverts, comments
-and so on, by tag, role, class or id) goes whether it recurs or not.
+Every element's subtree is hashed (tags, text and structure, no attributes).  For the subtrees whose going
+would change the text Spark counts, for each host and hash, the distinct pages, where pages of the same
+longest block count once, so mirrored copies of an article do not make its paragraphs look like a
+template.  A subtree on at least LEAST_PAGES such pages and a share of LEAST_SHARE of the host's is template
+and goes, with one exception: text blocks (paragraphs, headings, list items and the like) inside an
+``article`` or ``main`` element stay, because articles do quote the same passages.  What counts by name
+(navigation, footers, forms, adverts, comments and so on, by tag, role, class or id) goes whether it
+recurs or not.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from weftgraph.llm.shared import written
 from weftgraph.llm.words import chunks
 
 LEAST_PAGES = 3
 LEAST_SHARE = 0.01
+#: Template lists of at most so many pages are broadcast; beyond it the join shuffles.
+BROADCAST_PAGES = 50_000
 HASHES = "page_id long, url string, host string, page long, subtree long"
 OUT = "page_id long, url string, text string, n_chars long"
 
@@ -149,8 +153,8 @@ def text_of(raw: str) -> str:
     return " ".join((_html.unescape(raw) if "&" in raw else raw).split())
 
 
-def mark(node: Node, found: list[Node]) -> int:
-    """Set digests of all subtrees; ``found`` gets the block elements that hold text."""
+def mark(node: Node) -> int:
+    """Set the digests of all subtrees; 0 where there is no text."""
     h = blake2b(node.tag.encode(), digest_size=8)
     some = False
     words: list[str] = []
@@ -163,15 +167,13 @@ def mark(node: Node, found: list[Node]) -> int:
                     h.update(said.encode("utf-8", "replace"))
                     some = True
                 words = []
-            if inner := mark(child, found):
+            if inner := mark(child):
                 h.update(inner.to_bytes(8, "little", signed=True))
                 some = True
     if words and (said := text_of("".join(words))):
         h.update(said.encode("utf-8", "replace"))
         some = True
     node.digest = int.from_bytes(h.digest(), "little", signed=True) or 1 if some else 0
-    if some and node.tag in BLOCK:
-        found.append(node)
     return node.digest
 
 
@@ -191,8 +193,11 @@ def bodies(root: Node) -> list[tuple[Node, bool]]:
     return [(root, False)]
 
 
-def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
-    """The article's blocks in page order, without named boilerplate and subtrees in ``template``."""
+def blocks(root: Node, template: frozenset[int] | set[int] = frozenset(), open_: set[int] | None = None) -> list[str]:
+    """The article's blocks in page order, without named boilerplate and subtrees in ``template``.
+
+    ``open_`` gets the digests of those subtrees that would go if they were template.
+    """
     out: list[str] = []
     words: list[str] = []
 
@@ -211,10 +216,13 @@ def blocks(root: Node, template: frozenset[int] | set[int] = frozenset()) -> lis
                 words.append(" ")
                 continue
             block = child.tag in BLOCK
-            if named(child, in_article) or block and child.digest in template and not (in_article and child.tag in TEXT):
+            loose = block and child.digest != 0 and not (in_article and child.tag in TEXT)
+            if named(child, in_article) or loose and child.digest in template:
                 if block:
                     end()
                 continue
+            if loose and open_ is not None:
+                open_.add(child.digest)
             if block:
                 end()
             walk(child, in_article)
@@ -240,12 +248,13 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for page, url, raw in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
             root = parse(raw or "")
-            found: list[Node] = []
-            mark(root, found)
-            longest = max(blocks(root), key=len, default="")
+            mark(root)
+            # only subtrees whose going would change the text are counted; 0 stands for the page itself
+            found = {0}
+            longest = max(blocks(root, open_=found), key=len, default="")
             name = int.from_bytes(blake2b(longest.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
             host = host_of(url)
-            rows += [(page, url, host, name, d) for d in {n.digest for n in found}]
+            rows += [(page, url, host, name, d) for d in found]
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds, strict=True)], names=["page_id", "url", "host", "page", "subtree"])
@@ -257,7 +266,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw, gone in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
             root = parse(raw or "")
             if gone:
-                mark(root, [])
+                mark(root)
             texts.append("\n".join(blocks(root, set(gone or ()))))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -270,12 +279,14 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     repeated results; other columns are ignored.
     """
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
-    seen = pages.mapInArrow(_hashes, HASHES)
+    seen = written(pages.mapInArrow(_hashes, HASHES), "page-subtrees")
     distinct = seen.select("host", "page", "subtree").distinct()
     n_pages = distinct.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    often = distinct.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+    often = distinct.where("subtree <> 0").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     often = often.join(n_pages, "host").where(F.col("n") >= least_share * F.col("of")).select("host", "subtree")
     gone = seen.select("page_id", "url", "host", "subtree").join(often, ["host", "subtree"]).groupBy("page_id", "url").agg(F.collect_set("subtree").alias("template"))
-    gone = gone.select(F.col("page_id").alias("p"), F.col("url").alias("u"), "template")
+    gone = written(gone.select(F.col("page_id").alias("p"), F.col("url").alias("u"), "template"), "page-templates")
+    if gone.count() <= BROADCAST_PAGES:
+        gone = F.broadcast(gone)
     rows = pages.join(gone, F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")), "left")
     return rows.select("page_id", "url", "html", "template").mapInArrow(_texts, OUT)
