@@ -1,5 +1,7 @@
 """The pipeline's stages on the smallest tables, each against what its operator decides."""
 
+import re
+
 import pytest
 
 import corpus_pipeline
@@ -35,7 +37,7 @@ def test_run_and_registration(stages, spark, sf):
 
     names = set(__spark_entry__.queries())
     assert {"pipeline"} | set(entry.queries()) <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
