@@ -6,6 +6,8 @@ Key columns are declared unique; rows of equal key would be one entity whose col
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
+from functools import cache, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -35,24 +37,23 @@ def _key(columns: tuple[str, ...]) -> Column:
     return F.col(columns[0]) if len(columns) == 1 else F.struct(*[F.col(c).cast("long").alias(c) for c in columns])
 
 
-def _literal(frame: DataFrame, column: str) -> Attribute:
-    kind = frame.schema[column].dataType.typeName()
+def _literal(frame: Callable[[], DataFrame], column: str) -> Attribute:
+    kind = lambda: frame().schema[column].dataType.typeName()
 
     def typed(text: str) -> Column | None:
-        if kind in ("integer", "long", "short") and text.lstrip("-").isdigit() and str(int(text)) == text:
+        if kind() in ("integer", "long", "short") and text.lstrip("-").isdigit() and str(int(text)) == text:
             return F.col(column) == F.lit(int(text))
-        return F.col(column) == F.lit(text) if kind == "string" else None
+        return F.col(column) == F.lit(text) if kind() == "string" else None
 
-    value = (lambda: F.col(column)) if kind == "string" else (lambda: F.col(column).cast("string"))
-    return Attribute(value, LITERAL, typed)
+    return Attribute(lambda: F.col(column) if kind() == "string" else F.col(column).cast("string"), LITERAL, typed)
 
 
 def tables_graph(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] | None = None) -> Graph:
-    """Only the schemas are read here; data is read where a query needs it."""
+    """Nothing is read here; a table's schema is read when a query first needs the table."""
     sources = []
     for name in tables or tuple(TABLES):
         kind, key, links, literals = TABLES[name]
-        frame = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+        frame = cache(partial(spark.read.parquet, os.path.join(sf_dir, f"{name}.parquet")))
         attributes = {c: Attribute(lambda c=c: F.col(c).cast("long"), k) for c, k in links.items()} | {c: _literal(frame, c) for c in literals}
-        sources.append(Source(name, lambda f=frame: f, lambda k=key: _key(k), kind, {f"<{c}>": a for c, a in attributes.items()}))
+        sources.append(Source(name, frame, lambda k=key: _key(k), kind, {f"<{c}>": a for c, a in attributes.items()}))
     return Graph(spark, sources)
