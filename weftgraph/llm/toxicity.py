@@ -24,6 +24,8 @@ LENGTHS = (2, 3, 4, 5, 6)
 BUCKETS = 1 << 19
 SELECTED = 1 << 14
 SMOOTHING = 1.0
+#: n-grams whose count ratio is nearer to 1 than e ** LEAST_RATIO are left out: they are common and tell little.
+LEAST_RATIO = 0.5
 PENALTY = 0.02
 STEPS = 300
 REJECT = 0.5
@@ -111,7 +113,7 @@ def _features(keep):
 
 def logistic(y: np.ndarray, edge: np.ndarray, slot: np.ndarray, value: np.ndarray, n: int, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-regularised logistic regression on sparse rows, by accelerated gradient steps."""
-    row = np.repeat(np.arange(len(y)), np.diff(edge))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(edge))
     # the largest curvature is at most a quarter of the largest eigenvalue of X'X, found by power steps
     v = np.ones(n) / np.sqrt(n)
     top = 1.0
@@ -156,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
     """Fit on at most ``limit`` labelled rows outside the held-out fold.
 
     The driver receives counts of at most BUCKETS slots and the sampled rows' values of SELECTED of them.
-    Without any labelled row, or with one label only, every document has that label's smoothed rate.
+    Without any labelled row, or with one label only, every document has the smoothed rate of toxic rows,
+    (toxic + 1) / (rows + 3), so nothing is rejected where nothing was learnt.
     """
     rows = training_rows(docs, labels, label, limit)
     counts = rows.mapInArrow(_counts, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
@@ -164,10 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
     counts = counts[counts["slot"] >= 0]
     n = [int(totals[c].sum()) for c in ("clean", "toxic")]
     if min(n) == 0:
-        return Model(np.zeros(BUCKETS), float(np.log((n[1] + 1) / (n[0] + 1))))
+        return Model(np.zeros(BUCKETS), float(np.log((n[1] + 1) / (n[0] + 2))))
     q, p = (counts[c].to_numpy(float) + SMOOTHING for c in ("clean", "toxic"))
     ratio = np.log(p / (n[1] + 2 * SMOOTHING)) - np.log(q / (n[0] + 2 * SMOOTHING))
-    telling = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
+    telling = np.where(np.abs(ratio) >= LEAST_RATIO, np.abs(ratio), 0) / np.sqrt(1 / p + 1 / q)
     best = np.argsort(-telling, kind="stable")[:SELECTED]
     best = best[np.argsort(counts["slot"].to_numpy()[best])]
     slots = counts["slot"].to_numpy()[best]
@@ -177,9 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
     got = rows.mapInArrow(_features(shared), "y int, slots array<int>, counts array<int>").toArrow()
     lists = [got.column(c).combine_chunks() for c in ("slots", "counts")]
     edge = lists[0].offsets.to_numpy().astype(np.int64)
-    slot, count = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
+    slot, count = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
     r = ratio[best]
-    w, b = logistic((got.column("y").to_numpy() > 0).astype(float), edge - edge[0], slot, count * r[slot], len(slots))
+    w, b = logistic((got.column("y").to_numpy() > 0).astype(float), edge - edge[0], slot, (count * r[slot]).astype(np.float32), len(slots))
     weights = np.zeros(BUCKETS)
     weights[slots] = w * r
     return Model(weights, b)
