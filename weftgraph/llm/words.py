@@ -19,7 +19,7 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: The separators of the word pattern [^\x20\x09-\x0D]+ .
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[list(SPACES)] = False
