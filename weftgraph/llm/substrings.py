@@ -32,6 +32,8 @@ WINDOW = 50
 BROADCAST_IDS = 1_000_000
 #: Stands for a null doc_id: below all others.
 NULL_ID = -(1 << 63)
+#: Windows around hits that one task sorts at a time; a few per cent of the probes ever come so far.
+BUCKET_WINDOWS = 2_000_000
 SECOND_BASE = 0xD6E8FEB86659FD93
 DEALT = "bucket int, docs binary, keys binary, firsts binary, places binary, rest binary, more binary"
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -81,7 +83,13 @@ def _widen(raw: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _probes(block: int, window: int, bits: int):
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    """One of n buckets by the leading 32 bits of a hash."""
+    bucket = ((h >> U(32)) * U(n)) >> U(32)
+    return bucket.astype(np.uint16 if n <= 1 << 16 else np.uint32)
+
+
+def _probes(block: int, window: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             data, offsets = buffers(batch.column("text"))
@@ -91,9 +99,7 @@ def _probes(block: int, window: int, bits: int):
             at, h = at[long], h[long]
             if not len(at):
                 continue
-            bucket = (h >> U(64 - bits)).astype(np.uint16)
-            rest = (h >> U(40 - bits)) & U(0xFFFFFF)
-            yield _rows(list(_deal(bucket, _ids(batch), None, firsts, at, [rest], [3])))
+            yield _rows(list(_deal(_bucket(h, n), _ids(batch), None, firsts, at, [h & U(0xFFFFFF)], [3])))
 
     return run
 
@@ -165,7 +171,7 @@ def _second(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return mix64((total[at + width] - total[at]) * powers(len(hashes), pow(SECOND_BASE, -1, 1 << 64))[at]) >> U(32)
 
 
-def _windows(block: int, window: int, bits: int):
+def _windows(block: int, window: int, n: int):
     """All windows that hold a hit, dealt by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +190,7 @@ def _windows(block: int, window: int, bits: int):
             good = np.cumsum(near)[at] > 0
             at, h = at[good], h[good]
             if len(at):
-                bucket = (h >> U(64 - bits)).astype(np.uint16) if bits else np.zeros(len(h), np.uint16)
-                yield _rows(list(_deal(bucket, _ids(batch), batch.column("key").to_numpy(), firsts, at, [h, _second(hashes, at, window)], [8, 4])))
+                yield _rows(list(_deal(_bucket(h, n), _ids(batch), batch.column("key").to_numpy(), firsts, at, [h, _second(hashes, at, window)], [8, 4])))
 
     return run
 
@@ -235,10 +240,6 @@ def _cut(window: int, texts: bool):
     return run
 
 
-def _bits(n: int) -> int:
-    return min(16, max(1, (n - 1).bit_length()))
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: word counts, and the words left after removing repeated windows.
 
@@ -250,18 +251,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     """
     spark = docs.sparkSession
     n, block = partitions(spark), window // 2
-    bits = _bits(n)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    probes = docs.mapInArrow(_probes(block, window, bits), DEALT)
-    hits = probes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_hits(block), "id long, place int")
+    probes = docs.mapInArrow(_probes(block, window, n), DEALT)
+    hits = probes.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_hits(block), "id long, place int")
     hits = written(hits.groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places")), "repeat-hits")
     few = hits.count() <= BROADCAST_IDS
     ids = F.broadcast(hits.select("id")) if few else hits.select("id")
     same = F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("id")
     near = docs.join(ids, same, "left_semi").join(hits, same).select("doc_id", "text", F.xxhash64("text").alias("key"), "places")
     near = written(near, "repeat-texts")
-    dealt = near.mapInArrow(_windows(block, window, max(0, bits - 2)), DEALT)
-    late = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_later, "id long, key long, starts binary")
+    # a hit is in at most so many windows; a bucket for every BUCKET_WINDOWS of them
+    bound = near.agg(F.sum(F.size("places"))).first()[0] or 0
+    deals = bound * (window - block + 1) // BUCKET_WINDOWS + 1
+    dealt = near.mapInArrow(_windows(block, window, deals), DEALT)
+    late = dealt.repartitionById(deals, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_later, "id long, key long, starts binary")
     late = late.groupBy("id", F.col("key").alias("k")).agg(F.collect_list("starts").alias("starts"))
     found = near.drop("places").join(late, same & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "starts")
     rest = docs.join(ids, same, "left_anti")
