@@ -195,20 +195,39 @@ def _windows(block: int, window: int, n: int):
     return run
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each window's occurrences those in a document beyond the least one, gathered by document."""
+def _later(n: int):
+    """Of each window's occurrences those in a document beyond the least one, packed by the document's bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _buckets(batches):
+            docs, places, keys, h, more = _entries(rows)
+            order = np.lexsort((more, h))
+            h, more = h[order], more[order]
+            edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])]))
+            sizes = np.diff(np.append(edge, len(h)))
+            least = np.empty(len(h), np.int64)
+            least[order] = np.repeat(np.minimum.reduceat(docs[order], edge), sizes)
+            late = np.flatnonzero(docs > least)
+            if not len(late):
+                continue
+            d, k, p = docs[late], keys[late], places[late].astype("<u4")
+            bins = _bucket(mix64(d.astype(U) ^ mix64(k.astype(U))), n)
+            order = np.argsort(bins, kind="stable")
+            bins, d, k, p = bins[order], d[order], k[order], p[order]
+            cut = np.flatnonzero(np.concatenate([[True], bins[1:] != bins[:-1]]))
+            to = np.append(cut[1:], len(bins))
+            pack = lambda x: pa.array([planes(x[i:j]) for i, j in zip(cut.tolist(), to.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(bins[cut].astype(np.int32)), pack(d), pack(k), pack(p)], names=["bucket", "docs", "keys", "places"])
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of a bin: the starts of its covered windows."""
     for _, rows in _buckets(batches):
-        docs, places, keys, h, more = _entries(rows)
-        order = np.lexsort((more, h))
-        h, more = h[order], more[order]
-        edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (more[1:] != more[:-1])]))
-        sizes = np.diff(np.append(edge, len(h)))
-        least = np.empty(len(h), np.int64)
-        least[order] = np.repeat(np.minimum.reduceat(docs[order], edge), sizes)
-        late = np.flatnonzero(docs > least)
-        if not len(late):
-            continue
-        d, k, p = docs[late], keys[late], places[late].astype("<u4")
+        d, k, p = (np.concatenate([unplanes(r[c], kind) for r in rows]) for c, kind in (("docs", "<i8"), ("keys", "<i8"), ("places", "<u4")))
+        order = np.lexsort((p, k, d))
+        d, k, p = d[order], k[order], p[order]
         cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])]))
         to = np.append(cut[1:], len(d))
         for i in range(0, len(cut), BATCH):
@@ -229,7 +248,7 @@ def _cut(window: int, texts: bool):
                 kept = words
                 starts = column[i].as_py() if column is not None else None
                 if starts:
-                    at = np.concatenate([np.frombuffer(x, "<u4") for x in starts]).astype(np.int64)
+                    at = np.frombuffer(starts, "<u4").astype(np.int64)
                     step = np.bincount(at, minlength=len(words) + 1)[: len(words) + 1] - np.bincount(at + window, minlength=len(words) + 1)[: len(words) + 1]
                     kept = [words[j] for j in np.flatnonzero(np.cumsum(step)[: len(words)] == 0).tolist()]
                 left = b" ".join(kept)
@@ -264,8 +283,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     bound = near.agg(F.sum(F.size("places"))).first()[0] or 0
     deals = bound * (window - block + 1) // BUCKET_WINDOWS + 1
     dealt = near.mapInArrow(_windows(block, window, deals), DEALT)
-    late = dealt.repartitionById(deals, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_later, "id long, key long, starts binary")
-    late = late.groupBy("id", F.col("key").alias("k")).agg(F.collect_list("starts").alias("starts"))
+    late = dealt.repartitionById(deals, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_later(n), "bucket int, docs binary, keys binary, places binary")
+    late = late.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_gather, "id long, key long, starts binary")
+    late = late.withColumnRenamed("key", "k")
     found = near.drop("places").join(late, same & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "starts")
     rest = docs.join(ids, same, "left_anti")
     return found.mapInArrow(_cut(window, texts), OUT).unionByName(rest.mapInArrow(_cut(window, texts), OUT))
