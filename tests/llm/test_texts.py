@@ -54,6 +54,22 @@ def test_host_templates(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, f"http://d.example/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html.main_text(df).collect()}
+
+
+def test_text_blocks_of_an_article_are_counted_too(spark):
+    own = [f"own text of page {i}, quite a long one it is, longer than all the rest" for i in range(12)]
+    notice, links = "<p>Read our <a>rules</a> first</p>", "<h3>More</h3><ul><li><a>One</a><li><a>Two</a></ul><table><tr><td>x</table>"
+    got = texts_of(spark, [f"<main>{notice}<p>{o}</p>{'<p>quoted</p>' if i % 2 else ''}<p>end {i}</p>{links}</main>" for i, o in enumerate(own)])
+    assert all(got[i] == f"{o}\n" + ("quoted\n" if i % 2 else "") + f"end {i}" for i, o in enumerate(own))
+    got = texts_of(spark, [f"<article><h1>h {i}</h1><p>the same notice</p><p>{o}</p></article>" for i, o in enumerate(own)])
+    assert all(got[i] == f"h {i}\n{o}" for i, o in enumerate(own))
+    got = texts_of(spark, [f"Home - <a>News</a><p>{o}</p><i>All rights</i>" for o in own])
+    assert all(got[i] == o for i, o in enumerate(own))
+
+
 # tokens
 
 ODD = ["", " \n", "it's 5'8 <|endoftext|> x<|startoftext|>Y", "日本語 text É̈ é", "ÀÉ×÷ß ÿŸ", "12ab34!!?? a|b", "a b c\x1cd \x85", "don'T CAN'T 'S", "é \xe9×", "Ça ffi ﬁ İI", "x" * 5000, "### ###", "́ abc"]

@@ -1,21 +1,25 @@
 """Main text of web pages: named boilerplate goes, then subtrees that a host repeats on many pages.
 
-Every element's subtree is hashed (tags, text and structure, no attributes).  For the subtrees whose going
-would change the text Spark counts, for each host and hash, the distinct pages, where pages of the same
-longest block count once, so mirrored copies of an article do not make its paragraphs look like a
-template.  A subtree on at least LEAST_PAGES such pages and a share of LEAST_SHARE of the host's is template
-and goes, with one exception: text blocks (paragraphs, headings, list items and the like) inside an
-``article`` or ``main`` element stay, because articles do quote the same passages.  What counts by name
-(navigation, footers, forms, adverts, comments and so on, by tag, role, class or id) goes whether it
-recurs or not.
+Every block element's subtree is hashed (tags, text and structure, no attributes), and so is every run of
+loose text between blocks.  For each host and hash Spark counts the distinct pages, where pages of the same
+longest block count once, so mirrored copies of an article do not make its paragraphs look like a template.
+A subtree on at least LEAST_PAGES such pages and a share of LEAST_SHARE of the host's is template and goes.
+
+Text blocks (paragraphs, headings, lists, tables and the like) inside an ``article`` or ``main`` element need
+more evidence, because articles do quote the same passages: they go if they stand on a share of COMMON_SHARE
+of the host's pages and in an unbroken run of such blocks at the body's start or end, or, at any place, if
+they stand on EVERYWHERE_PAGES pages and a share of EVERYWHERE_SHARE.  What counts by name (navigation,
+footers, forms, adverts, comments and so on, by tag, role, class or id) goes whether it recurs or not.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 from hashlib import blake2b
+from types import MappingProxyType
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -26,15 +30,22 @@ from weftgraph.llm.words import chunks
 
 LEAST_PAGES = 3
 LEAST_SHARE = 0.01
+#: For text blocks of an article: at its edge, and anywhere.
+COMMON_SHARE = 0.5
+EVERYWHERE_PAGES, EVERYWHERE_SHARE = 10, 0.9
+#: What a template's share of its host's pages lets it do, from LEAST_SHARE on.
+RARE, COMMON, EVERYWHERE = 1, 2, 3
 #: Template lists of at most so many pages are broadcast; beyond it the join shuffles.
 BROADCAST_PAGES = 50_000
-HASHES = "page_id long, url string, host string, page long, subtree long"
+#: Templates of at most so many (host, subtree) are broadcast; beyond it the join shuffles.
+BROADCAST_SUBTREES = 1_000_000
+HASHES = "page_id long, url string, host long, page long, boxes array<long>, texts array<long>"
 OUT = "page_id long, url string, text string, n_chars long"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Text blocks that stay inside an article even where they recur.
+#: Text blocks that inside an article need more evidence than others.
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr figcaption ol ul dl table tbody article main body html".split())
 DROP = frozenset("head script style noscript template iframe object embed svg canvas audio video map nav footer aside form button select option optgroup input textarea label fieldset dialog menu title noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -193,21 +204,35 @@ def bodies(root: Node) -> list[tuple[Node, bool]]:
     return [(root, False)]
 
 
-def blocks(root: Node, template: frozenset[int] | set[int] = frozenset(), open_: set[int] | None = None) -> list[str]:
-    """The article's blocks in page order, without named boilerplate and subtrees in ``template``.
+def digest_of(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
-    ``open_`` gets the digests of those subtrees that would go if they were template.
-    """
-    out: list[str] = []
+
+@dataclass
+class Leaf:
+    """A block's text, and the digests of the subtrees it stands in: boxes, and text blocks of an article."""
+
+    said: str
+    boxes: tuple[int, ...]
+    texts: tuple[int, ...]
+
+
+def leaves(root: Node) -> list[list[Leaf]]:
+    """The blocks of each of the page's bodies in page order, without named boilerplate."""
+    out: list[list[Leaf]] = []
     words: list[str] = []
 
-    def end() -> None:
+    def end(in_article: bool, boxes: tuple[int, ...], texts: tuple[int, ...], mixed: bool) -> None:
         if words:
             if said := text_of("".join(words)):
-                out.append(said)
+                if mixed:
+                    own = (digest_of(f"#text {said}"),)
+                    boxes, texts = (boxes, texts + own) if in_article else (boxes + own, texts)
+                out[-1].append(Leaf(said, boxes, texts))
             words.clear()
 
-    def walk(node: Node, in_article: bool) -> None:
+    def walk(node: Node, in_article: bool, boxes: tuple[int, ...], texts: tuple[int, ...], mixed: bool) -> None:
+        """``mixed``: the node's loose text is not the whole of a hashed element, so it is a block by itself."""
         for child in node.children:
             if isinstance(child, str):
                 words.append(child)
@@ -216,23 +241,45 @@ def blocks(root: Node, template: frozenset[int] | set[int] = frozenset(), open_:
                 words.append(" ")
                 continue
             block = child.tag in BLOCK
-            loose = block and child.digest != 0 and not (in_article and child.tag in TEXT)
-            if named(child, in_article) or loose and child.digest in template:
+            if named(child, in_article):
                 if block:
-                    end()
+                    end(in_article, boxes, texts, mixed)
                 continue
-            if loose and open_ is not None:
-                open_.add(child.digest)
-            if block:
-                end()
-            walk(child, in_article)
-            if block:
-                end()
+            if not block:
+                walk(child, in_article, boxes, texts, mixed)
+                continue
+            end(in_article, boxes, texts, mixed)
+            inner, its = boxes, texts
+            if child.digest:
+                inner, its = (boxes, texts + (child.digest,)) if in_article and child.tag in TEXT else (boxes + (child.digest,), texts)
+            apart = not child.digest or has_block(child)
+            walk(child, in_article, inner, its, apart)
+            end(in_article, inner, its, apart)
 
     for node, in_article in bodies(root):
-        end()
-        walk(node, in_article)
-    end()
+        out.append([])
+        walk(node, in_article, (), (), True)
+        end(in_article, (), (), True)
+    return out
+
+
+def has_block(node: Node) -> bool:
+    return any(not isinstance(c, str) and (c.tag in BLOCK or has_block(c)) for c in node.children)
+
+
+def blocks(root: Node, template: Mapping[int, int] = MappingProxyType({})) -> list[str]:
+    """The article's blocks in page order, without named boilerplate and what ``template`` (digest: RARE, COMMON, EVERYWHERE) takes."""
+    out: list[str] = []
+    for body in leaves(root):
+        box = [any(d in template for d in leaf.boxes) for leaf in body]
+        gone = [b or any(template.get(d) == EVERYWHERE for d in leaf.texts) for b, leaf in zip(box, body, strict=True)]
+        for way in (range(len(body)), range(len(body) - 1, -1, -1)):
+            for i in way:
+                # a box at the edge ends the run: what stands inside of it is not at the edge
+                if box[i] or not gone[i] and not any(template.get(d, 0) >= COMMON for d in body[i].texts):
+                    break
+                gone[i] = True
+        out += [leaf.said for leaf, g in zip(body, gone, strict=True) if not g]
     return out
 
 
@@ -243,31 +290,36 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def at_host(digest: int, host: int) -> int:
+    """A subtree's name among those of all hosts."""
+    return digest ^ host
+
+
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "html"):
         rows: list[tuple] = []
         for page, url, raw in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
             root = parse(raw or "")
             mark(root)
-            # only subtrees whose going would change the text are counted; 0 stands for the page itself
-            found = {0}
-            longest = max(blocks(root, open_=found), key=len, default="")
-            name = int.from_bytes(blake2b(longest.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-            host = host_of(url)
-            rows += [(page, url, host, name, d) for d in found]
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            host = digest_of(host_of(url))
+            found = [leaf for body in leaves(root) for leaf in body]
+            boxes, texts = ({at_host(d, host) for leaf in found for d in getattr(leaf, kind)} for kind in ("boxes", "texts"))
+            name = digest_of(max((leaf.said for leaf in found), key=len, default=""))
+            rows.append((page, url, host, name, list(boxes), list(texts)))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds, strict=True)], names=["page_id", "url", "host", "page", "subtree"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds, strict=True)], names=["page_id", "url", "host", "page", "boxes", "texts"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "html"):
         texts = []
-        for raw, gone in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
+        for url, raw, gone in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "template")), strict=True):
             root = parse(raw or "")
             if gone:
                 mark(root)
-            texts.append("\n".join(blocks(root, set(gone or ()))))
+            host = digest_of(host_of(url)) if gone else 0
+            texts.append("\n".join(blocks(root, {at_host(x["subtree"], host): x["level"] for x in gone or ()})))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -280,11 +332,16 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     """
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
     seen = written(pages.mapInArrow(_hashes, HASHES), "page-subtrees")
-    distinct = seen.select("host", "page", "subtree").distinct()
-    n_pages = distinct.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    often = distinct.where("subtree <> 0").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    often = often.join(n_pages, "host").where(F.col("n") >= least_share * F.col("of")).select("host", "subtree")
-    gone = seen.select("page_id", "url", "host", "subtree").join(often, ["host", "subtree"]).groupBy("page_id", "url").agg(F.collect_set("subtree").alias("template"))
+    n_pages = seen.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
+    rows = lambda *c: seen.select(*c, F.explode("boxes").alias("subtree"), F.lit(True).alias("box")).unionByName(seen.select(*c, F.explode("texts").alias("subtree"), F.lit(False).alias("box")))
+    distinct = rows("host", "page").groupBy("host", "page", "subtree").agg(F.max("box").alias("box"))
+    often = distinct.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"), F.max("box").alias("box")).where(F.col("n") >= least_pages)
+    share = F.col("n") / F.col("of")
+    level = F.when((F.col("n") >= EVERYWHERE_PAGES) & (share >= EVERYWHERE_SHARE), EVERYWHERE).when(share >= COMMON_SHARE, COMMON).when(F.col("box") & (share >= least_share), RARE)
+    often = written(often.join(n_pages, "host").select("subtree", level.alias("level")).where("level is not null"), "page-templates")
+    if often.count() <= BROADCAST_SUBTREES:
+        often = F.broadcast(often)
+    gone = rows("page_id", "url").join(often, "subtree").groupBy("page_id", "url").agg(F.collect_set(F.struct("subtree", "level")).alias("template"))
     gone = written(gone.select(F.col("page_id").alias("p"), F.col("url").alias("u"), "template"), "page-templates")
     if gone.count() <= BROADCAST_PAGES:
         gone = F.broadcast(gone)
