@@ -70,6 +70,15 @@ def test_text_blocks_of_an_article_are_counted_too(spark):
     assert all(got[i] == o for i, o in enumerate(own))
 
 
+def test_a_long_block_of_the_host_does_not_merge_its_pages(spark):
+    licence = "this long licence text stands on every page and is longer than all of its articles " * 3
+    got = texts_of(spark, [f"<div><p>Menu</p></div><p>short article {i}</p><div><p>{licence}</p></div>" for i in range(6)])
+    assert all(got[i] == f"short article {i}" for i in range(6))
+    story = [f"<p>paragraph {k} of an article that some pages mirror, told at length</p>" for k in range(9)]
+    got = texts_of(spark, [f"{''.join(story)}<p>copy {i}</p>" for i in range(4)] + [f"<p>other article {i}</p>" for i in range(8)])
+    assert all(len(got[i].split("\n")) == 10 for i in range(4))
+
+
 # tokens
 
 ODD = ["", " \n", "it's 5'8 <|endoftext|> x<|startoftext|>Y", "日本語 text É̈ é", "ÀÉ×÷ß ÿŸ", "12ab34!!?? a|b", "a b c\x1cd \x85", "don'T CAN'T 'S", "é \xe9×", "Ça ffi ﬁ İI", "x" * 5000, "### ###", "́ abc"]

@@ -2,8 +2,10 @@
 
 Every block element's subtree is hashed (tags, text and structure, no attributes), and so is every run of
 loose text between blocks.  For each host and hash Spark counts the distinct pages, where pages of the same
-longest block count once, so mirrored copies of an article do not make its paragraphs look like a template.
+whole text count once, so mirrored copies of an article do not make its paragraphs look like a template.
 A subtree on at least LEAST_PAGES such pages and a share of LEAST_SHARE of the host's is template and goes.
+Mirrors may differ in a line: where templates of less than COMMON_SHARE would leave less than LEAST_LEFT of
+a page's text, they are taken for its article and stay.
 
 Text blocks (paragraphs, headings, lists, tables and the like) inside an ``article`` or ``main`` element need
 more evidence, because articles do quote the same passages: they go if they stand on a share of COMMON_SHARE
@@ -33,6 +35,7 @@ LEAST_SHARE = 0.01
 #: For text blocks of an article: at its edge, and anywhere.
 COMMON_SHARE = 0.5
 EVERYWHERE_PAGES, EVERYWHERE_SHARE = 10, 0.9
+LEAST_LEFT = 0.1
 #: What a template's share of its host's pages lets it do, from LEAST_SHARE on.
 RARE, COMMON, EVERYWHERE = 1, 2, 3
 #: Template lists of at most so many pages are broadcast; beyond it the join shuffles.
@@ -270,7 +273,11 @@ def has_block(node: Node) -> bool:
 def blocks(root: Node, template: Mapping[int, int] = MappingProxyType({})) -> list[str]:
     """The article's blocks in page order, without named boilerplate and what ``template`` (digest: RARE, COMMON, EVERYWHERE) takes."""
     out: list[str] = []
-    for body in leaves(root):
+    page = leaves(root)
+    found = [leaf for body in page for leaf in body]
+    if sum(len(x.said) for x in found if not any(d in template for d in x.boxes)) < LEAST_LEFT * sum(len(x.said) for x in found):
+        template = {d: level for d, level in template.items() if level != RARE}
+    for body in page:
         box = [any(d in template for d in leaf.boxes) for leaf in body]
         gone = [b or any(template.get(d) == EVERYWHERE for d in leaf.texts) for b, leaf in zip(box, body, strict=True)]
         for way in (range(len(body)), range(len(body) - 1, -1, -1)):
@@ -304,7 +311,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = digest_of(host_of(url))
             found = [leaf for body in leaves(root) for leaf in body]
             boxes, texts = ({at_host(d, host) for leaf in found for d in getattr(leaf, kind)} for kind in ("boxes", "texts"))
-            name = digest_of(max((leaf.said for leaf in found), key=len, default=""))
+            name = digest_of("\n".join(leaf.said for leaf in found))
             rows.append((page, url, host, name, list(boxes), list(texts)))
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         if rows:
