@@ -79,6 +79,20 @@ def test_a_long_block_of_the_host_does_not_merge_its_pages(spark):
     assert all(len(got[i].split("\n")) == 10 for i in range(4))
 
 
+def test_names_that_only_mention_boilerplate():
+    read = lambda x: html.blocks(html.parse(x))
+    for name in ("content no-sidebar", "post-with-comments", "has-header", "sidebarless header-and-content"):
+        assert read(f'<div class="{name}"><article><h1>T</h1><p>x</p></article></div><p>other</p>') == ["T", "x"], name
+        assert read(f'<p>other text</p><div class="{name}"><p>x</p></div>') == ["other text", "x"], name
+    assert read('<div class="sidebar"><main><p>the text</p></main></div>') == ["the text"]
+    assert read('<div id="feedback"><p>nearly all of the text</p></div><p>x</p>') == ["nearly all of the text", "x"]
+    assert read('<article><div class="entry-header"><h1>T</h1></div><p>x</p></article>') == ["T", "x"]
+    assert read('<div class="entry-header"><h1>T</h1></div><p>and a text</p>') == ["T", "and a text"]
+    assert read('<article><p>the long text of it</p></article><div class="comments"><article class="comment"><p>no</p></article></div>') == ["the long text of it"]
+    for name in ("comments-area", "siteFooter", "left-sidebar", "ad-slot", "main-nav links", "nav2"):
+        assert read(f'<p>a text that is long enough</p><div class="{name}"><p>gone</p></div>') == ["a text that is long enough"], name
+
+
 # tokens
 
 ODD = ["", " \n", "it's 5'8 <|endoftext|> x<|startoftext|>Y", "日本語 text É̈ é", "ÀÉ×÷ß ÿŸ", "12ab34!!?? a|b", "a b c\x1cd \x85", "don'T CAN'T 'S", "é \xe9×", "Ça ffi ﬁ İI", "x" * 5000, "### ###", "́ abc"]

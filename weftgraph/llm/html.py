@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Set
 from dataclasses import dataclass
 from hashlib import blake2b
 from types import MappingProxyType
@@ -52,12 +52,16 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr figcaption ol ul dl table tbody article main body html".split())
 DROP = frozenset("head script style noscript template iframe object embed svg canvas audio video map nav footer aside form button select option optgroup input textarea label fieldset dialog menu title noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Parts of class names and ids that name boilerplate.
+#: What names boilerplate: a class or id, or its last part, but for parts that say where or how much.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner nav navbar navigation navi menu menus breadcrumb breadcrumbs masthead topbar footer foot colophon sidebar side rail aside"
     " widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist reply replies respond disqus"
     " discussion feedback pagination pager skip toolbar copyright disclaimer paywall header".split()
 )
+GENERIC = frozenset("area section wrapper wrap container list box bar block link links button buttons slot unit item items inner outer left right top bottom main primary secondary".split())
+#: A part that says what an element has, or that it is the article's own, not what it is.
+NOT_NAMES = frozenset("no has have with without not non is".split())
+OWN = frozenset("article entry post story content".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -144,13 +148,28 @@ def parse(page: str) -> Node:
     return root
 
 
-def named(node: Node, in_article: bool) -> bool:
-    """Whether tag, role, class or id say that the element is not the article's text."""
+def names(value: str, in_article: bool) -> bool:
+    """Whether a class attribute or id names boilerplate."""
+    for token in value.split():
+        parts = [x.lower() for x in _PART.findall(token)]
+        if not parts or NOT_NAMES & set(parts):
+            continue
+        last = len(parts)
+        while last > 1 and parts[last - 1] in GENERIC:
+            last -= 1
+        for name in (parts[last - 1], "".join(parts)):
+            if name in NAMES and not (name == "header" and (in_article or OWN & set(parts))):
+                return True
+    return False
+
+
+def named(node: Node, in_article: bool, kept: Set[int] = frozenset()) -> bool:
+    """Whether tag, role, class or id say that the element is not the article's text; for those in ``kept`` only the tag does."""
     if node.tag in DROP:
         return True
     if node.tag == "header" and not in_article:
         return True
-    if not node.attrs or node.tag in ("html", "body"):
+    if not node.attrs or node.tag in ("html", "body") or id(node) in kept:
         return False
     for name, *values in _ATTR.findall(node.attrs):
         value = values[0] or values[1] or values[2]
@@ -158,11 +177,30 @@ def named(node: Node, in_article: bool) -> bool:
         if name == "role":
             if value.strip().lower() in ROLES:
                 return True
-        elif name != "aria-label" and any(part.lower() in NAMES for part in _PART.findall(value)):
+        elif name != "aria-label" and names(value, in_article):
             return True
     return False
 
 
+def never_named(root: Node) -> set[int]:
+    """Elements (by ``id``) that stay whatever their name: most of the page's text, its largest ``article`` and ``main``, and what holds them."""
+    size: dict[int, int] = {}
+    largest: dict[str, tuple[int, list[int]]] = {}
+    path: list[int] = []
+
+    def walk(node: Node) -> int:
+        path.append(id(node))
+        n = sum(len(text_of(c)) if isinstance(c, str) else 0 if c.tag in DROP else walk(c) for c in node.children)
+        size[id(node)] = n
+        if node.tag in ("article", "main") and n >= largest.get(node.tag, (0, []))[0]:
+            largest[node.tag] = n, path.copy()
+        path.pop()
+        return n
+
+    walk(root)
+    return {x for x, n in size.items() if 2 * n > size[id(root)]}.union(*(held for _, held in largest.values()))
+
+
 def text_of(raw: str) -> str:
     return " ".join((_html.unescape(raw) if "&" in raw else raw).split())
 
@@ -191,7 +229,7 @@ def mark(node: Node) -> int:
     return node.digest
 
 
-def bodies(root: Node) -> list[tuple[Node, bool]]:
+def bodies(root: Node, kept: Set[int] = frozenset()) -> list[tuple[Node, bool]]:
     """The elements that hold the article: its outermost ``article``s, else ``main``s, else the whole page."""
     for tag in ("article", "main"):
         out: list[Node] = []
@@ -201,7 +239,7 @@ def bodies(root: Node) -> list[tuple[Node, bool]]:
             if node.tag == tag or tag == "main" and "main" in (v.lower() for n, *vs in _ATTR.findall(node.attrs) if n.lower() == "role" for v in vs):
                 out.append(node)
                 continue
-            todo += [c for c in reversed(node.children) if not isinstance(c, str) and not named(c, False)]
+            todo += [c for c in reversed(node.children) if not isinstance(c, str) and not named(c, False, kept)]
         if out:
             return [(n, True) for n in out]
     return [(root, False)]
@@ -224,6 +262,7 @@ def leaves(root: Node) -> list[list[Leaf]]:
     """The blocks of each of the page's bodies in page order, without named boilerplate."""
     out: list[list[Leaf]] = []
     words: list[str] = []
+    kept = never_named(root)
 
     def end(in_article: bool, boxes: tuple[int, ...], texts: tuple[int, ...], mixed: bool) -> None:
         if words:
@@ -244,7 +283,7 @@ def leaves(root: Node) -> list[list[Leaf]]:
                 words.append(" ")
                 continue
             block = child.tag in BLOCK
-            if named(child, in_article):
+            if named(child, in_article, kept):
                 if block:
                     end(in_article, boxes, texts, mixed)
                 continue
@@ -259,7 +298,7 @@ def leaves(root: Node) -> list[list[Leaf]]:
             walk(child, in_article, inner, its, apart)
             end(in_article, inner, its, apart)
 
-    for node, in_article in bodies(root):
+    for node, in_article in bodies(root, kept):
         out.append([])
         walk(node, in_article, (), (), True)
         end(in_article, (), (), True)
