@@ -219,6 +219,20 @@ def test_anchors_do_not_depend_on_context(spark):
     assert [x for x in a if x is not None] and b[3 : 3 + 57] == a[:57]
 
 
+def test_a_passage_that_long_documents_share_is_found_in_place(spark):
+    r = random.Random(6)
+    a, b, shared = ([f"{c}{r.randrange(10**6)}" for _ in range(n)] for c, n in (("a", 6000), ("b", 6000), ("s", 300)))
+    rows = [(2, " ".join(a[:1000] + shared + a[1000:])), (1, " ".join(b[:4000] + shared + b[4000:]))]
+    got = {x.doc_id: x for x in fingerprints.fingerprints(spark.createDataFrame(rows, DOCS)).collect()}
+    parts = {d: [(int(x.fingerprint[i : i + 8], 16), x.fingerprint[i + 8 : i + 24]) for i in range(0, len(x.fingerprint), 24)] for d, x in got.items()}
+    assert all(len(x) > 0.6 * 6300 and [at for at, _ in x] == sorted(at for at, _ in x) for x in parts.values())
+    there = {h: at for at, h in parts[1]}
+    both = [(at, there[h]) for at, h in parts[2] if h in there]
+    assert len(both) > 150 and all(y - x == 3000 and 1000 <= x < 1300 for x, y in both)
+    n = len(parts[1]) + len(parts[2])
+    assert 0.8 * len(both) / n < got[2].near_next < 1.1 * len(both) / (n - 2 * len(both))
+
+
 # classifiers
 
 def labelled_tables(spark, n, make, label):
