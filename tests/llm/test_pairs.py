@@ -97,6 +97,21 @@ def test_sketch_estimates_probability_jaccard():
     assert abs((sketch[0] == sketch[1]).mean() - exact) < 0.045
 
 
+def test_repeated_lines_do_not_part_alike_sets():
+    """Likeness 0.8 and more, but far less by weights: 50 shingles and a line of ten repeated, one word of it edited."""
+    import pyarrow as pa
+
+    texts = []
+    for i in range(60):
+        plain, line = prose(4000 + i, 54, 10**6), prose(5000 + i, 10, 10**6)
+        texts += [" ".join(plain + x * 100) for x in (line, line[:5] + [f"new{i}"] + line[6:])]
+        sets = [shingles(t) for t in texts[-2:]]
+        assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(120)), "row": list(range(120)), "text": texts})
+    found = [set(x) for b in neardup._sketches(5, neardup.BANDS, neardup.ROWS)(iter([batch])) for x in b.column("bands").to_pylist()]
+    assert len(found) == 120 and all(found[i] & found[i + 1] for i in range(0, 120, 2))
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(f"{rng.randrange(80):03d}".encode(), f"{rng.randrange(80):03d}".encode()) for _ in range(60)]

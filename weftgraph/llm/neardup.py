@@ -5,6 +5,8 @@ every shingle arrive at the times of a Poisson process of its weight's rate, eac
 register; a register keeps its first arrival, and a shingle stops when its next arrival is later than
 all registers'.  Two registers agree with the probability Jaccard likeness of the weighted sets (for
 equal weights: the Jaccard likeness).  All documents of a batch run their rounds together in numpy.
+Links are defined on sets, so every document has bands over equal weights; one with repeated shingles also
+has those over its weights, in the same buckets.
 
 Documents of equal words are one node.  Nodes that share a band are candidates, but a bucket's pairs are
 never listed: its least node is compared with every other one, verified links are joined to classes, and
@@ -26,7 +28,7 @@ from weftgraph.llm.words import BASE, BASE_INVERSE, U, buffers, chunks, mix64, p
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: 24 bands of 5 registers miss a pair of likeness 0.8 with probability 7e-5.
+#: 24 bands of 5 registers over equal weights miss a pair of likeness 0.8 with probability 7e-5.
 BANDS, ROWS = 24, 5
 BROADCAST_IDS = 1_000_000
 #: Members compared with one copy of a bucket's centre before it is sent to another task too.
@@ -96,17 +98,30 @@ def weighted(doc: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _sketches(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix64(np.arange(1, bands + 1, dtype=U))
+
+        def named(sketch: np.ndarray) -> np.ndarray:
+            sketch = sketch.reshape(len(sketch), bands, rows)
+            band = np.zeros((len(sketch), bands), U) + salt
+            for i in range(rows):
+                band = mix64(band * U(BASE) + sketch[:, :, i])
+            return band
+
         for batch in chunks(batches, "text"):
             data, offsets = buffers(batch.column("text"))
             doc, shingle, keys = shingles(data, offsets, width)
             n = batch.num_rows
-            sketch = prob_min_hash(*weighted(doc, shingle), n, bands * rows).reshape(n, bands, rows)
-            band = np.zeros((n, bands), U) + salt
-            for i in range(rows):
-                band = mix64(band * U(BASE) + sketch[:, :, i])
-            some = np.bincount(doc, minlength=n) > 0
-            held = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(held), pa.array(band[some].reshape(-1).view(np.int64)))
+            doc, element, weight = weighted(doc, shingle)
+            band = named(prob_min_hash(doc, element, np.ones(len(doc)), n, bands * rows))
+            some = np.unique(doc)
+            # without repeats the weighted sketch is the same one
+            repeats = np.unique(doc[weight > 1])
+            its = np.isin(doc, repeats)
+            more = named(prob_min_hash(np.searchsorted(repeats, doc[its]), element[its], weight[its], len(repeats), bands * rows))
+            new = more != band[repeats]
+            owner = np.concatenate([np.repeat(some, bands), np.repeat(repeats, new.sum(1))])
+            held = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int32)
+            flat = np.concatenate([band[some].reshape(-1), more[new]])[np.argsort(owner, kind="stable")]
+            lists = pa.ListArray.from_arrays(pa.array(held), pa.array(flat.view(np.int64)))
             names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), names, lists], names=["doc_id", "row", "node", "bands"])
 
