@@ -192,6 +192,19 @@ def test_decontamination(spark):
     assert decontamination.overlaps(df, bench.limit(0)).count() == 0 and decontamination.overlaps(df.limit(0), bench).count() == 0
 
 
+def test_short_items_with_substituted_words():
+    import pyarrow as pa
+    from itertools import combinations
+
+    for n, bad in ((8, 0), (9, 1), (10, 2), (11, 2), (12, 2)):
+        item = prose(40 + n, n, 10**6)
+        index = decontamination.Index.of([7], [" ".join(item)], decontamination.WINDOW, decontamination.SIMILARITY)
+        for k in (bad, bad + 1):
+            texts = [" ".join(["before", *(f"z{i}" if i in gone else w for i, w in enumerate(item)), "after"]) for gone in combinations(range(n), k)]
+            got = index.find(*decontamination.normal_words(pa.array(texts)))
+            assert got == ([(d, 0, 1, n - k, n) for d in range(len(texts))] if k == bad else [])
+
+
 def test_seeds_hit_every_window_with_two_substitutions():
     from itertools import combinations
 

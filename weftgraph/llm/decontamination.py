@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from weftgraph.llm.words import U, buffers, chunks, mix64, spans, word_hashes
 WINDOW = 13
 SIMILARITY = 0.8
 MASKS = ((0, 2, 3, 4, 7, 8), (0, 1, 2, 5, 7, 8))
+#: Items of fewer words must stand whole.
+LEAST_WORDS = 9
 #: A block of items ends after so many items, or so many characters.
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 16 << 20
@@ -68,9 +71,25 @@ def seeds(words: np.ndarray, firsts: np.ndarray, mask: tuple[int, ...]) -> tuple
     return at, mix64(h[at] ^ U(span * 0x51ED27 + sum(1 << x for x in mask)))
 
 
+def needed(width: int, window: int, similarity: float) -> int:
+    """Equal words that a window of ``width`` needs: an item shorter than LEAST_WORDS (and than ``window``) all of them."""
+    return math.ceil(similarity * width) if width >= min(LEAST_WORDS, window) else width
+
+
+def short_masks(width: int, bad: int) -> list[tuple[int, ...]]:
+    """Masks over an item of ``width`` words of which one at least sees only equal words if ``bad`` differ.
+
+    The words are cut in bad + 2 runs, of which two at least are untouched: each mask takes two.
+    """
+    if not bad:
+        return [tuple(range(width))]
+    cuts = [width * i // (bad + 2) for i in range(bad + 3)]
+    return [tuple(x for i in two for x in range(cuts[i], cuts[i + 1])) for two in combinations(range(bad + 2), 2)]
+
+
 @dataclass
 class Index:
-    """Seeds of one block of items.  Items of fewer words than ``window`` must stand whole, and have one seed."""
+    """Seeds of one block of items.  Items of fewer words than ``window`` have masks of their own, from their first word."""
 
     ids: np.ndarray
     words: np.ndarray
@@ -87,11 +106,13 @@ class Index:
         words, firsts = normal_words(pa.array(texts, pa.string()))
         size = np.diff(firsts)
         item = np.repeat(np.arange(len(ids)), size)
-        masks = [*MASKS, *(tuple(range(n)) for n in sorted(set(size[(size > 0) & (size < window)].tolist())))]
+        short = sorted(set(size[(size > 0) & (size < window)].tolist()))
+        widths = [(m, 0) for m in MASKS] + [(m, n) for n in short for m in short_masks(n, n - needed(n, window, similarity))]
+        masks = [m for m, _ in widths]
         hashes, items, places = [], [], []
-        for k, mask in enumerate(masks):
+        for mask, width in widths:
             at, h = seeds(words, firsts, mask)
-            fits = size[item[at]] >= window if k < len(MASKS) else size[item[at]] == len(mask)
+            fits = (size[item[at]] == width) & (at == firsts[item[at]]) if width else size[item[at]] >= window
             at, h = at[fits], h[fits]
             order = np.argsort(h, kind="stable")
             hashes.append(h[order])
@@ -131,7 +152,7 @@ class Index:
             equal = np.concatenate([[0], np.cumsum(a[low:high] == b[low + lag : high + lag])])
             runs = equal[width:] - equal[:-width]
             k = int(runs.argmax())
-            need = math.ceil(self.similarity * width) if width == self.window else width
+            need = needed(width, self.window, self.similarity)
             if runs[k] >= need and (old := best.get((doc, item), (0, 0, 0, -1, 0)))[3] <= runs[k]:
                 new = (doc, item, low + lag + k, int(runs[k]), width)
                 best[doc, item] = new if old[3] < runs[k] else min(old, new)
@@ -178,7 +199,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
 
     ``n_equal`` of ``n_compared`` consecutive aligned words agree, from document word ``doc_word`` on: the
     best such window of the pair, the earliest of equal ones.  An item of at least ``window`` words needs a
-    share of ``similarity`` in a window; a shorter one must stand whole.  Null texts and items without words
+    share of ``similarity`` in a window; a shorter one of LEAST_WORDS or more that share of its words, one
+    shorter still must stand whole.  Null texts and items without words
     match nothing; repeated rows give repeated pairs; an empty benchmark gives no pairs; a null item_id
     is -1; other columns are ignored.
     """
