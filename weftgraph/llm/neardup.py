@@ -23,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.components import components
-from weftgraph.llm.shared import partitions, written
-from weftgraph.llm.words import BASE, BASE_INVERSE, U, buffers, chunks, mix64, powers, spans, word_hashes
+from weftgraph.llm.shared import fresh, join_spread, partitions, released, written
+from weftgraph.llm.words import ODD, U, buffers, chunks, mix64, runs, spans, text_hashes, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: 24 bands of 5 registers over equal weights miss a pair of likeness 0.8 with probability 7e-5.
 BANDS, ROWS = 24, 5
 BROADCAST_IDS = 1_000_000
+#: A node of more rows, all copies of one text, is joined back to them without being gathered in one task.
+COPIES = 1000
 #: Members compared with one copy of a bucket's centre before it is sent to another task too.
 SALT_ROWS = 512
 #: Members outside a bucket's main class that one task holds.
@@ -45,22 +47,16 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     """
     starts, ends, firsts = spans(data, offsets)
     h = word_hashes(data, starts, ends)
-    n = len(h)
-    total = np.zeros(n + 1, U)
-    np.cumsum(h * powers(n, BASE), out=total[1:])
+    keys = np.stack([text_hashes(h, firsts, 1), text_hashes(h, firsts, SECOND)], 1)
     size = np.diff(firsts)
     doc = np.repeat(np.arange(len(size)), size)
-    at = np.arange(n)
-    to = np.minimum(at + width, firsts[1:][doc])
-    good = (at + width <= firsts[1:][doc]) | ((at == firsts[:-1][doc]) & (size[doc] < width))
-    at, to = at[good], to[good]
-    found = mix64((total[to] - total[at]) * powers(n + 1, BASE_INVERSE)[at])
-    keys = np.empty((len(size), 2), U)
-    keys[:, 0] = mix64((total[firsts[1:]] - total[firsts[:-1]]) * powers(n + 1, BASE_INVERSE)[firsts[:-1]])
-    second = np.zeros(n + 1, U)
-    np.cumsum(mix64(h ^ U(SECOND)) * powers(n, SECOND), out=second[1:])
-    keys[:, 1] = mix64((second[firsts[1:]] - second[firsts[:-1]]) * powers(n + 1, pow(SECOND, -1, 1 << 64))[firsts[:-1]] ^ size.astype(U))
-    return doc[good], found, keys
+    at = np.flatnonzero(np.arange(width, len(h) + width) <= firsts[1:][doc])
+    short = np.flatnonzero((size > 0) & (size < width))
+    if not len(short):
+        return doc[at], runs(h, width)[at], keys
+    doc, found = np.concatenate([doc[at], short]), np.concatenate([runs(h, width)[at], keys[short, 0]])
+    order = np.argsort(doc, kind="stable")
+    return doc[order], found[order], keys
 
 
 def prob_min_hash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
@@ -103,7 +99,7 @@ def _sketches(width: int, bands: int, rows: int):
             sketch = sketch.reshape(len(sketch), bands, rows)
             band = np.zeros((len(sketch), bands), U) + salt
             for i in range(rows):
-                band = mix64(band * U(BASE) + sketch[:, :, i])
+                band = mix64(band * ODD + sketch[:, :, i])
             return band
 
         for batch in chunks(batches, "text"):
@@ -179,7 +175,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     copies = salts.select(F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     centres = sets.join(copies, sets.node == copies.centre).select("centre", "salt", F.lit(False).alias("member"), "node", "set")
     rows = centres.unionByName(members).repartition(n, "centre", "salt").sortWithinPartitions("centre", "salt", "member")
-    return rows.mapInArrow(_verified(similarity), "a binary, b binary")
+    return rows.mapInArrow(released(_verified(similarity)), "a binary, b binary")
 
 
 def _exact(similarity: float):
@@ -253,7 +249,7 @@ def between_classes(buckets: DataFrame, labels: DataFrame, sets: DataFrame, simi
     past = held.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("other"), "node", "label")
     rows = block.unionByName(past).join(sets, "node")
     rows = rows.repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "other")
-    return rows.select("bucket", "block", "other", "node", "label", "set").mapInArrow(_exact(similarity), "a binary, b binary")
+    return rows.select("bucket", "block", "other", "node", "label", "set").mapInArrow(released(_exact(similarity)), "a binary, b binary")
 
 
 def classes(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -268,15 +264,17 @@ def classes(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARIT
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     texts = docs.withColumn("row", F.xxhash64("text"))
-    all_ = written(texts.mapInArrow(_sketches(width, bands, rows), "doc_id long, row long, node binary, bands array<long>"), "dup-bands")
-    nodes = all_.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    all_ = written(texts.mapInArrow(released(_sketches(width, bands, rows)), "doc_id long, row long, node binary, bands array<long>"), "dup-bands")
+    known = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    nodes = all_.groupBy("node").agg(F.min(known).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    nodes = written(nodes.withColumn("doc_id", F.col("first.doc_id")), "dup-nodes")
     places = nodes.select("node", "doc_id", F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1").select("bucket", "centre")
     buckets = written(places.join(shared, "bucket"), "dup-buckets")
     near = buckets.select("node", "doc_id").distinct()
     ids = near.select("doc_id").distinct()
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi")
-    sets = texts.mapInArrow(_sets(width), "node binary, set binary").dropDuplicates(["node"])
+    sets = texts.mapInArrow(released(_sets(width)), "node binary, set binary").dropDuplicates(["node"])
     sets = written(sets.join(near.select("node").distinct(), "node", "left_semi"), "dup-sets")
     buckets = buckets.drop("doc_id")
 
@@ -286,21 +284,24 @@ def classes(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARIT
     more = written(between_classes(buckets, labels, sets, similarity), "dup-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    labelled = all_.select("doc_id", "row", "node").join(labels, "node", "left").select("doc_id", "row", F.coalesce("label", "node").alias("label"))
-    known = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    first = labelled.groupBy("label").agg(F.min(known).alias("first"))
-    out = labelled.join(first, "label")
-    keep = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
-    return out.select("doc_id", "row", F.col("first.doc_id").alias("class_id"), keep.alias("keep"))
+    # classes are told by node, of which there is one for all copies of a text; only then rows get theirs
+    held = nodes.select("node", "first", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = labels.select("label").distinct().join(held, "label").groupBy("label").agg(F.min("first").alias("least"))
+    of_node = held.join(F.broadcast(least) if least.count() <= BROADCAST_IDS else least, "label", "left")
+    of_node = written(of_node.select("node", "n", F.coalesce("least", "first").alias("least")), "dup-classes")
+    rows = join_spread(all_.select("doc_id", "row", "node"), of_node.where(F.col("n") <= COPIES).select("node", "least"), "node", ["doc_id", "row"], of_node.where(F.col("n") > COPIES).select("node", "least"))
+    keep = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row") == F.col("least.row"))
+    return rows.select("doc_id", "row", F.col("least.doc_id").alias("class_id"), keep.alias("keep"))
 
 
 def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class: the least doc_id's; all columns stay.  Options are those of ``classes``."""
     found = written(classes(docs, **options), "dup-classes")
-    gone = found.where("not keep").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
-    twice = found.where("keep").groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"))
+    id_, row = fresh(docs.columns, "id", "row")
+    gone = found.where("not keep").select(F.col("doc_id").alias(id_), F.col("row").alias(row)).distinct()
+    twice = found.where("keep").groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(id_), F.col("row").alias(row))
     few = lambda t: F.broadcast(t) if t.count() <= BROADCAST_IDS else t
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__row"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(row))
     rows = docs.join(few(gone), same, "left_anti")
     if twice.isEmpty():
         return rows

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: A table of so many rows is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+#: Parts in which a key that is too frequent for one task is dealt, where its rows can't be broadcast.
+PARTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,3 +59,42 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """``names`` with as many underscores in front as keep them apart from ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    lead = "_"
+    while any((lead + n).lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the Python worker, which waits for other tasks, gives its free memory back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
+def join_spread(rows: DataFrame, few: DataFrame, key: str, spread_by: list[str], frequent: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``few`` (one row for each ``key``), where some keys may have a large share of all rows.
+
+    ``frequent`` holds those rows of ``few``; ``few`` the others only.  Frequent ones are broadcast if there are
+    at most BROADCAST_ROWS, else copied to PARTS parts among which ``spread_by`` deals the rows.
+    """
+    if frequent is None:
+        return rows.join(few, key)
+    if frequent.count() <= BROADCAST_ROWS:
+        frequent = F.broadcast(frequent)
+        return rows.join(frequent, key).unionByName(rows.join(F.broadcast(frequent.select(key)), key, "left_anti").join(few, key))
+    (part,) = fresh([*rows.columns, *few.columns], "part")
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(*spread_by), F.lit(PARTS)))
+    copies = frequent.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<long>")))
+    rest = dealt.join(copies.select(key, part), [key, part], "left_anti").drop(part)
+    return dealt.join(copies, [key, part]).drop(part).unionByName(rest.join(few, key))

@@ -24,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.shared import partitions, written
-from weftgraph.llm.words import U, buffers, chunks, mix64, powers, spans, window_hashes, word_hashes
+from weftgraph.llm.shared import partitions, released, written
+from weftgraph.llm.words import U, buffers, chunks, mix64, runs, spans, window_hashes, word_hashes
 
 WINDOW = 50
 #: Doc ids of at most this many documents with hits are broadcast; beyond it the join shuffles.
@@ -34,7 +34,7 @@ BROADCAST_IDS = 1_000_000
 NULL_ID = -(1 << 63)
 #: Windows around hits that one task sorts at a time; a few per cent of the probes ever come so far.
 BUCKET_WINDOWS = 2_000_000
-SECOND_BASE = 0xD6E8FEB86659FD93
+SECOND = 0xD6E8FEB86659FD93
 DEALT = "bucket int, docs binary, keys binary, firsts binary, places binary, rest binary, more binary"
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 BATCH = 1 << 16
@@ -166,9 +166,7 @@ def _hits(block: int):
 
 def _second(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """32 more bits of a window's hash, over another mixing of its words."""
-    total = np.zeros(len(hashes) + 1, U)
-    np.cumsum(mix64(hashes ^ U(SECOND_BASE)) * powers(len(hashes), SECOND_BASE), out=total[1:])
-    return mix64((total[at + width] - total[at]) * powers(len(hashes), pow(SECOND_BASE, -1, 1 << 64))[at]) >> U(32)
+    return runs(mix64(hashes ^ U(SECOND)), width)[at] >> U(32)
 
 
 def _windows(block: int, window: int, n: int):
@@ -271,8 +269,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     spark = docs.sparkSession
     n, block = partitions(spark), window // 2
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    probes = docs.mapInArrow(_probes(block, window, n), DEALT)
-    hits = probes.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_hits(block), "id long, place int")
+    probes = docs.mapInArrow(released(_probes(block, window, n)), DEALT)
+    hits = probes.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_hits(block)), "id long, place int")
     hits = written(hits.groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places")), "repeat-hits")
     few = hits.count() <= BROADCAST_IDS
     ids = F.broadcast(hits.select("id")) if few else hits.select("id")
@@ -282,10 +280,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     # a hit is in at most so many windows; a bucket for every BUCKET_WINDOWS of them
     bound = near.agg(F.sum(F.size("places"))).first()[0] or 0
     deals = bound * (window - block + 1) // BUCKET_WINDOWS + 1
-    dealt = near.mapInArrow(_windows(block, window, deals), DEALT)
-    late = dealt.repartitionById(deals, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_later(n), "bucket int, docs binary, keys binary, places binary")
-    late = late.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_gather, "id long, key long, starts binary")
+    dealt = near.mapInArrow(released(_windows(block, window, deals)), DEALT)
+    late = dealt.repartitionById(deals, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(released(_later(n)), "bucket int, docs binary, keys binary, places binary")
+    late = late.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(released(_gather), "id long, key long, starts binary")
     late = late.withColumnRenamed("key", "k")
     found = near.drop("places").join(late, same & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "starts")
     rest = docs.join(ids, same, "left_anti")
-    return found.mapInArrow(_cut(window, texts), OUT).unionByName(rest.mapInArrow(_cut(window, texts), OUT))
+    return found.mapInArrow(released(_cut(window, texts)), OUT).unionByName(rest.mapInArrow(released(_cut(window, texts)), OUT))

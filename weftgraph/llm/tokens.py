@@ -1,8 +1,8 @@
 """Token-ID output: encode texts, compress the ids of a shard by Re-Pair, write, read back.
 
 A shard holds whole documents in ascending doc_id order.  Re-Pair replaces the most frequent adjacent id
-pairs by new symbols, a few thousand pairs a round, until no pair is frequent; no pair spans two
-documents.  The shard stores the rules, each symbol's expansion length, the symbols, and where each
+pairs by new symbols, up to RULES_A_ROUND of them a round, until no pair stands LEAST_COUNT times; no pair
+spans two documents.  Symbols take 16 bits, or 32 once there are more of them.  The shard stores the rules, each symbol's expansion length, the symbols, and where each
 document begins, so any document, or any range of its ids, is decoded without the rest.
 
 Shards are rows of a Parquet table written by Spark, so the committer, not the task, decides which of
@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from weftgraph.llm.decontamination import lowered
-from weftgraph.llm.shared import partitions, written
-from weftgraph.llm.words import IS_WORD, U, buffers, chunks, spans, word_hashes
+from weftgraph.llm.shared import partitions, released, written
+from weftgraph.llm.words import CHUNK_BYTES, IS_WORD, ODD as GOLDEN, U, Slots, buffers, chunks, named, spans
 
 END = 2
 SHARD_IDS = 1 << 21
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 6, 2600, 16
+RULES_A_ROUND, LEAST_COUNT = 2600, 16
+#: A text of more bytes is encoded in stretches.
+LONG_BYTES = 8 << 20
 #: Size of the table of known pieces (a power of two), and of the cache of other words.
 SLOTS = 1 << 22
 CACHED_WORDS = 100_000
@@ -85,21 +87,9 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.keys, self.tags = np.zeros(SLOTS, U), np.zeros(SLOTS, np.uint32)
+        self.known = Slots(SLOTS)
         self.first, self.size = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-        self.pool, self.pooled, self.held = np.zeros(1 << 20, np.uint32), 0, 0
-
-    def _find(self, keys: np.ndarray, tags: np.ndarray) -> np.ndarray:
-        """Slot of each key, -1 where there is none."""
-        out = np.full(len(keys), -1, np.int64)
-        todo, slot = np.arange(len(keys)), (keys >> U(20)).astype(np.int64) & (SLOTS - 1)
-        while len(todo):
-            there = self.keys[slot]
-            same = (there == keys[todo]) & (self.tags[slot] == tags[todo])
-            out[todo[same]] = slot[same]
-            go = ~same & (there != 0)
-            todo, slot = todo[go], (slot[go] + 1) & (SLOTS - 1)
-        return out
+        self.pool, self.pooled = np.zeros(1 << 20, np.uint32), 0
 
     def _put(self, keys: np.ndarray, tags: np.ndarray, ids: list[list[int]]) -> None:
         size = np.array([len(x) for x in ids], np.int32)
@@ -107,22 +97,31 @@ class Encoder:
         if self.pooled + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.pooled], np.zeros(max(len(flat), len(self.pool)), np.uint32)])
         self.pool[self.pooled : self.pooled + len(flat)] = flat
-        first = (self.pooled + np.cumsum(size) - size).astype(np.int32)
-        self.pooled, self.held = self.pooled + len(flat), self.held + len(keys)
-        todo, slot = np.arange(len(keys)), (keys >> U(20)).astype(np.int64) & (SLOTS - 1)
-        while len(todo):
-            free = np.flatnonzero(self.keys[slot] == 0)
-            s, one = np.unique(slot[free], return_index=True)
-            k = todo[free[one]]
-            self.keys[s], self.tags[s], self.first[s], self.size[s] = keys[k], tags[k], first[k], size[k]
-            stay = np.ones(len(todo), bool)
-            stay[free[one]] = False
-            todo, slot = todo[stay], slot[stay]
-            slot = np.where(self.keys[slot] != 0, (slot + 1) & (SLOTS - 1), slot)
+        slot = self.known.put(keys, tags)
+        self.first[slot], self.size[slot] = self.pooled + np.cumsum(size) - size, size
+        self.pooled += len(flat)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the column's texts, each text's followed by END, and how many each has."""
+        """All ids of the column's texts, each text's followed by END, and how many each has.
+
+        A long text goes through in stretches that end at white space, which no piece spans.
+        """
         data, offsets = buffers(column)
+        if not self.cuts or len(offsets) != 2 or len(data) <= LONG_BYTES:
+            return self._ids(data, offsets)
+        out, at = [], 0
+        while at < len(data):
+            to = min(at + CHUNK_BYTES, len(data))
+            while to < len(data) and not (gap := np.flatnonzero(~IS_WORD[data[to : to + CHUNK_BYTES]])[:1]).size:
+                to = min(to + CHUNK_BYTES, len(data))
+            to += int(gap[0]) if to < len(data) else 0
+            out.append(self._ids(data[at:to], np.array([0, to - at]))[0][:-1])
+            at = to
+        out.append(np.array([END], np.uint32))
+        ids = np.concatenate(out)
+        return ids, np.array([len(ids)], np.int64)
+
+    def _ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n_docs = len(offsets) - 1
         if not self.cuts:
             raw = data.tobytes()
@@ -153,26 +152,23 @@ class Encoder:
         inner = np.flatnonzero(word[1:] == word[:-1])
         to[inner] = at[inner + 1]
         whole = whole[word]
-        keys = word_hashes(low, at, to)
-        keys[keys == 0] = U(1)
-        tags = ((to - at).astype(np.uint32) << np.uint32(16)) ^ (low[at].astype(np.uint32) << np.uint32(8)) ^ low[to - 1]
+        keys, tags = named(low, at, to)
         slot = np.full(len(at), -1, np.int64)
         plain = np.flatnonzero(~whole)
-        slot[plain] = self._find(keys[plain], tags[plain])
+        slot[plain] = self.known.find(keys[plain], tags[plain])
         new = plain[slot[plain] < 0]
-        if len(new):
+        if self.known.held + len(new) > SLOTS // 2 and self.known.held + len(np.unique(keys[new])) > SLOTS // 2:
+            self._empty()
+            new = plain
+        raw = low.tobytes() if len(new) else b""
+        # a second round only for pieces of equal hash and different tag
+        while len(new):
             _, one = np.unique(keys[new], return_index=True)
-            if self.held + len(one) > SLOTS // 2:
-                self._empty()
-                new = plain
-                _, one = np.unique(keys[new], return_index=True)
             some = new[one]
-            raw = low.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(at[some].tolist(), to[some].tolist(), strict=True)]
             self._put(keys[some], tags[some], [e.ids for e in self.pieces.encode_batch_fast(texts, add_special_tokens=False)])
-            slot[new] = self._find(keys[new], tags[new])
-            if (slot[new] < 0).any():
-                raise ValueError("two pieces of one batch have the same hash")
+            slot[new] = self.known.find(keys[new], tags[new])
+            new = new[slot[new] < 0]
         first, size = self.first[slot].astype(np.int64), self.size[slot].astype(np.int64)
         pool = self.pool
         other = np.flatnonzero(whole)
@@ -213,31 +209,29 @@ def compress(ids: np.ndarray, counts: np.ndarray, terminals: int) -> tuple[np.nd
 
     Symbols from ``terminals`` on are nonterminals, rule k of them ``terminals + k``.
     """
-    # 16-bit symbols make 32-bit pairs, which sort twice as fast
-    small = terminals + ROUNDS * RULES_A_ROUND <= 1 << 16
-    one, pair, half = (np.uint16, np.uint32, 16) if small else (np.uint32, np.uint64, 32)
-    seq = ids.astype(one)
+    seq = ids
     last = np.zeros(len(seq), bool)
     last[np.cumsum(counts) - 1] = True
     rules: list[np.ndarray] = []
-    names = terminals
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    names, most = terminals, RULES_A_ROUND
+    while len(seq) > 1:
+        # 16-bit symbols make 32-bit pairs, which sort twice as fast
+        one, pair, half = (np.uint16, np.uint32, 16) if names + RULES_A_ROUND <= 1 << 16 else (np.uint32, np.uint64, 32)
+        seq = seq.astype(one, copy=False)
         key = (seq[:-1].astype(pair) << pair(half)) | seq[1:]
         inner = ~last[:-1]
         some = np.sort(key[inner])
-        if not len(some):
+        # a pair is frequent if LEAST_COUNT sorted places on there is the same one
+        far = some[LEAST_COUNT - 1 :] == some[: max(0, len(some) - LEAST_COUNT + 1)]
+        frequent = some[: len(far)][far]
+        if not len(frequent):
             break
-        first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
-        count = np.diff(np.append(first, len(some)))
-        often = np.flatnonzero(count >= LEAST_COUNT)
-        if not len(often):
-            break
-        often = often[np.argsort(-count[often], kind="stable")[:RULES_A_ROUND]]
-        chosen = some[first[often]]
-        # a small direct table finds the few chosen pairs; of pairs that share a slot the most frequent stays
-        slots = lambda k: ((k.astype(U) * U(0x9E3779B97F4A7C15)) >> U(44)).astype(np.int32)
+        first = np.flatnonzero(np.concatenate([[True], frequent[1:] != frequent[:-1]]))
+        count = np.diff(np.append(first, len(frequent)))
+        often = np.argsort(-count, kind="stable")[:most]
+        chosen = frequent[first[often]]
+        # a small direct table finds the few chosen pairs; of pairs that share a slot the most frequent stays for now
+        slots = lambda k: ((k.astype(U) * GOLDEN) >> U(44)).astype(np.int32)
         table = np.full(1 << 20, len(chosen), np.int16)
         at = slots(chosen)
         table[at[::-1]] = np.arange(len(chosen) - 1, -1, -1)
@@ -245,12 +239,18 @@ def compress(ids: np.ndarray, counts: np.ndarray, terminals: int) -> tuple[np.nd
         rank = table[slots(key)]
         hit = np.flatnonzero((rank < len(chosen)) & inner)
         hit = hit[chosen[rank[hit]] == key[hit]]
-        if not len(hit):
-            break
         # of overlapping pairs take every other one from the left
         begin = np.concatenate([[True], np.diff(hit) > 1])
         run = hit[np.maximum.accumulate(np.where(begin, np.arange(len(hit)), 0))]
         hit = hit[(hit - run) % 2 == 0]
+        # a pair that others have left but one place to waits; if that holds for all, the most frequent goes alone
+        its = rank[hit]
+        kept &= np.bincount(its, minlength=len(chosen)) > 1
+        if not kept.any():
+            most = 1
+            continue
+        most = RULES_A_ROUND
+        hit = hit[kept[its]]
         number = np.cumsum(kept) - 1
         pairs = chosen[kept]
         rules.append(np.stack([pairs >> pair(half), pairs & pair((1 << half) - 1)], 1).astype(np.uint32))
@@ -260,6 +260,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, terminals: int) -> tuple[np.nd
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq, last = seq[keep], last[keep]
+    seq = seq.astype(np.uint16 if names <= 1 << 16 else np.uint32, copy=False)
     table = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     return table, seq, np.concatenate([[0], np.flatnonzero(last) + 1])
 
@@ -401,7 +402,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     rows = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return rows.mapInArrow(_shards(tokenizer_path), SHARDS)
+    return rows.mapInArrow(released(_shards(tokenizer_path)), SHARDS)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,7 +428,7 @@ def documents(shards: DataFrame) -> DataFrame:
     order = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("part_start"))
     rows = shards.join(F.broadcast(sums), "part").select((F.col("part_start") + F.col("before")).alias("base"), "payload")
-    return rows.mapInArrow(_documents, DOCS)
+    return rows.mapInArrow(released(_documents), DOCS)
 
 
 def token_output(docs: DataFrame, tokenizer_path: str) -> DataFrame:
