@@ -18,7 +18,7 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = TRAIN_ROWS) -> DataFrame:
-    """``text, y`` of at most ``limit`` labelled rows that are not held out, written once.
+    """``id, text, y`` of at most ``limit`` labelled rows that are not held out, written once.
 
     The sampled ids (at most ``limit``, so the broadcast is bounded) meet the documents without a
     shuffle.  Of several labels of a document the greatest counts; null labels are none.
@@ -27,4 +27,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int = T
     ids = ids.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(ids), F.col("id") == F.col("doc_id"))
-    return written(rows.select("text", "y"), "labelled")
+    return written(rows.select("id", "text", "y"), "labelled")

@@ -1,56 +1,86 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the character n-grams of each lowered word with a space on both sides, hashed to BUCKETS
-slots; a document's value is the number of its distinct words that hold the n-gram.  On the training rows
-Spark counts the documents of either label that hold each n-gram; the log ratio of these smoothed counts
-scales the feature, and an L2-regularised logistic regression over the SELECTED most telling ones gives
-the weights.  A word's score is then the same wherever it stands, so a batch scores each distinct word
-once and adds up per document.
+slots; a document's value is the number of its distinct words that hold the n-gram.  The values' sums over
+the training rows of either label, smoothed, give each n-gram's log-count ratio, which scales it, and an
+L2-regularised logistic regression over all n-grams gives the weights.
+
+Both steps use that a document's features are the sum of its words': the training rows are kept as lists of
+distinct words, and every distinct word once as its list of slots, so no n-gram has to be left out for
+memory.  For the same reason a word's score is the same wherever it stands: tasks keep the scores of words
+they have met in a table and add up per document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from weftgraph.llm.decontamination import lowered
 from weftgraph.llm.labelled import TRAIN_ROWS, held_out, training_rows
-from weftgraph.llm.words import U, buffers, chunks, mix64, spans, word_hashes
+from weftgraph.llm.shared import partitions, released
+from weftgraph.llm.words import ODD, U, Slots, buffers, chunks, mix64, named, spans
 
 LENGTHS = (2, 3, 4, 5, 6)
 BUCKETS = 1 << 19
-SELECTED = 1 << 14
 SMOOTHING = 1.0
-#: n-grams whose count ratio is nearer to 1 than e ** LEAST_RATIO are left out: they are common and tell little.
-LEAST_RATIO = 0.5
-PENALTY = 0.02
-STEPS = 300
+PENALTY = 2.0
+#: The fit ends after so many steps, or when one lowers the mean loss by less than TOLERANCE.
+STEPS, TOLERANCE = 60, 1e-5
 REJECT = 0.5
+#: Slots of a task's table of words with known scores; it starts anew when half full.
+KNOWN = 1 << 20
+#: Entries of words' slot lists that the fit goes through at a time.
+BLOCK = 1 << 21
 
 
-def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, str]:
-    """Distinct (document, word) pairs, and the batch's distinct words joined by spaces, in lower case."""
-    data, offsets = buffers(column)
-    starts, ends, firsts = spans(data, offsets)
-    _, first, word = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
-    pairs = np.unique((doc.astype(np.int64) << 32) | word)
-    raw = data.tobytes()
-    words = b" ".join([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-    return pairs >> 32, pairs & 0xFFFFFFFF, words.decode("utf-8", "replace")
-
-
-def ngrams(words: str) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the word, and hashed slot, of every n-gram of `` word ``, for words joined by single spaces."""
+@dataclass
+class Words:
+    """Distinct words of a batch's texts: ``doc`` and ``word`` (an index) of each pair; place, key and tag of each distinct word."""
+
+    low: np.ndarray
+    doc: np.ndarray
+    word: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    keys: np.ndarray
+    tags: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Words:
+        data, offsets = buffers(column)
+        low = lowered(data)
+        starts, ends, firsts = spans(low, offsets)
+        keys, tags = named(low, starts, ends)
+        doc = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+        pair = mix64(keys ^ (doc.astype(U) * ODD))
+        order = np.argsort(pair)
+        edge = np.ones(len(pair), bool)
+        edge[1:] = pair[order[1:]] != pair[order[:-1]]
+        # in the texts' order, so that sums do not depend on the batch
+        some = np.sort(order[edge])
+        _, first, word = np.unique(keys[some], return_index=True, return_inverse=True)
+        first = some[first]
+        return cls(low, doc[some], word, starts[first], ends[first], keys[first], tags[first])
+
+    def texts(self, some: np.ndarray) -> list[bytes]:
+        raw = self.low.tobytes()
+        return [raw[a:b] for a, b in zip(self.starts[some].tolist(), self.ends[some].tolist(), strict=True)]
+
+
+def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word and hashed slot of every n-gram of `` word ``, each once a word, in order."""
     # other white space inside a word stays a character; lowering never adds or removes a space
-    points = np.frombuffer(f" {words.lower()} ".encode("utf-32-le", "replace"), "<u4").astype(U)
+    said = b" ".join(words).decode("utf-8", "replace").lower()
+    points = np.frombuffer(f" {said} ".encode("utf-32-le", "replace"), "<u4").astype(U)
     gap = points == U(0x20)
     word = np.cumsum(gap) - 1
     before = np.concatenate([[0], np.cumsum(gap)])
-    at_word, slots = [], []
+    found = []
     for n in LENGTHS:
         if len(points) < n:
             continue
@@ -59,80 +89,107 @@ def ngrams(words: str) -> tuple[np.ndarray, np.ndarray]:
         for j in range(n):
             h = h * U(0x100000001B3) + points[j : j + m] + U(1)
         # a space may only stand at either end
-        inner = before[n - 1 : n - 1 + m] - before[1 : 1 + m] if n > 1 else np.zeros(m, int)
+        inner = before[n - 1 : n - 1 + m] - before[1 : 1 + m]
         good = (inner == 0) & ~(gap[:m] & gap[n - 1 : n - 1 + m])
-        slots.append((mix64(h[good] ^ U(n << 56)) % U(BUCKETS)).astype(np.int64))
-        at_word.append(word[:m][good])
-    if not slots:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(at_word), np.concatenate(slots)
-
-
-def _document_features(column: pa.Array, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, feature, distinct words with it), with slots renumbered by ``keep`` (-1: dropped)."""
-    doc, word, words = distinct_words(column)
-    at, slot = ngrams(words)
-    n_words = int(word.max()) + 1 if len(word) else 0
-    if keep is not None:
-        slot = keep[slot]
-        at, slot = at[slot >= 0], slot[slot >= 0]
-    packed = np.unique((at << 32) | slot)
-    at, slot = packed >> 32, packed & 0xFFFFFFFF
-    edge = np.searchsorted(at, np.arange(n_words + 1))
-    size = np.diff(edge)[word]
-    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    pairs = (np.repeat(doc, size) << 32) | slot[np.repeat(edge[word], size) + inner]
-    pairs, count = np.unique(pairs, return_counts=True)
-    return pairs >> 32, pairs & 0xFFFFFFFF, count
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = np.zeros((2, BUCKETS), np.int64)
-    rows = np.zeros(2, np.int64)
-    for batch in chunks(batches, "text", 1 << 20):
-        y = (batch.column("y").to_numpy() > 0).astype(int)
-        doc, slot, _ = _document_features(batch.column("text"))
-        rows += np.bincount(y, minlength=2)
-        for k in (0, 1):
-            held[k] += np.bincount(slot[y[doc] == k], minlength=BUCKETS)
-    if rows.sum():
-        some = np.flatnonzero(held.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), *(pa.array(np.append(held[k][some], rows[k])) for k in (0, 1))], names=["slot", "clean", "toxic"])
-
-
-def _features(keep):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 1 << 20):
-            doc, slot, count = _document_features(batch.column("text"), keep.value)
-            edge = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(x.astype(np.int32))) for x in (slot, count)]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), *lists], names=["y", "slots", "counts"])
-
-    return run
-
-
-def logistic(y: np.ndarray, edge: np.ndarray, slot: np.ndarray, value: np.ndarray, n: int, penalty: float = PENALTY, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2-regularised logistic regression on sparse rows, by accelerated gradient steps."""
-    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(edge))
-    # the largest curvature is at most a quarter of the largest eigenvalue of X'X, found by power steps
-    v = np.ones(n) / np.sqrt(n)
-    top = 1.0
-    for _ in range(15):
-        u = np.bincount(slot, value * np.bincount(row, value * v[slot], len(y))[row], n)
-        top = float(np.linalg.norm(u)) or 1.0
-        v = u / top
-    rate = 1.0 / (0.25 * (top + len(y)) / len(y) + penalty / len(y))
-    w, b = np.zeros(n), 0.0
-    ahead, ahead_b, t = w, b, 1.0
+        found.append((word[:m][good] << 32) | (mix64(h[good] ^ U(n << 56)) % U(BUCKETS)).astype(np.int64))
+    packed = np.sort(np.concatenate(found)) if found else np.empty(0, np.int64)
+    packed = packed[np.concatenate([[True], packed[1:] != packed[:-1]])] if len(packed) else packed
+    return packed >> 32, packed & 0xFFFFFFFF
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, "text"):
+        w = Words.of(batch.column("text"))
+        edge = np.searchsorted(w.doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(w.keys[w.word].view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), lists], names=["id", "y", "words"])
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = Slots(KNOWN)
+    for batch in chunks(batches, "text"):
+        w = Words.of(batch.column("text"))
+        if seen.held + len(w.keys) > KNOWN // 2:
+            seen.clear()
+        new = np.flatnonzero(seen.find(w.keys, w.tags) < 0)
+        if len(new) <= KNOWN // 2:
+            seen.put(w.keys[new], w.tags[new])
+        if len(new):
+            yield pa.RecordBatch.from_arrays([pa.array(w.keys[new].view(np.int64)), pa.array(w.texts(new), pa.binary())], names=["key", "word"])
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, "word"):
+        at, slot = ngrams(batch.column("word").to_pylist())
+        edge = np.searchsorted(at, np.arange(batch.num_rows + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(edge), pa.array(slot.astype(np.int32)))], names=["key", "slots"])
+
+
+class Lists:
+    """Sums over lists of indices: ``up`` adds up each list's values, ``down`` spreads a value to each list's indices."""
+
+    def __init__(self, edge: np.ndarray, index: np.ndarray, n: int):
+        self.edge, self.index, self.n = edge, index, n
+        cuts = np.unique(np.searchsorted(edge, np.arange(0, len(index) + BLOCK, BLOCK), "left"))
+        self.cuts = np.unique(np.concatenate([[0], cuts[cuts < len(edge)], [len(edge) - 1]]))
+
+    def up(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.edge) - 1)
+        for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True):
+            at = self.edge[a:b] - self.edge[a]
+            # one more item, as an empty list at the end has no place to begin at
+            run = np.zeros(self.edge[b] - self.edge[a] + 1)
+            np.take(values, self.index[self.edge[a] : self.edge[b]], out=run[:-1], mode="clip")
+            out[a:b] = np.where(self.edge[a + 1 : b + 1] > self.edge[a:b], np.add.reduceat(run, at), 0)
+        return out
+
+    def down(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True):
+            out += np.bincount(self.index[self.edge[a] : self.edge[b]], np.repeat(values[a:b], np.diff(self.edge[a : b + 1])), self.n)
+        return out
+
+
+def logistic(y: np.ndarray, docs: Lists, words: Lists, scale: np.ndarray, penalty: float = PENALTY, steps: int = STEPS, memory: int = 6) -> tuple[np.ndarray, float]:
+    """Weights and bias of an L2-regularised logistic regression on the scaled sums of the words' lists, by limited-memory BFGS."""
+    n = len(scale)
+    theta = np.zeros(n + 1)
+    theta[n] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+
+    def loss(t: np.ndarray) -> tuple[float, np.ndarray]:
+        z = docs.up(words.up(t[:n] * scale)) + t[n]
+        g = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y
+        slope = np.empty(n + 1)
+        slope[:n] = words.down(docs.down(g)) * scale + penalty * t[:n]
+        slope[n] = g.sum()
+        return float((np.logaddexp(0, z) - y * z).sum() + penalty / 2 * (t[:n] @ t[:n])), slope
+
+    value, slope = loss(theta)
+    moves: list[tuple[np.ndarray, np.ndarray, float]] = []
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * ahead[slot], len(y)) + ahead_b, -35, 35)))
-        g = (p - y) / len(y)
-        new = ahead - rate * (np.bincount(slot, value * g[row], n) + penalty * ahead / len(y))
-        new_b = ahead_b - rate * g.sum()
-        t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        ahead, ahead_b = new + (old - 1) / t * (new - w), new_b + (old - 1) / t * (new_b - b)
-        w, b = new, new_b
-    return w, float(b)
+        way, kept = -slope, []
+        for s, d, r in reversed(moves):
+            a = r * (s @ way)
+            kept.append(a)
+            way -= a * d
+        way *= 1 / (moves[-1][2] * (moves[-1][1] @ moves[-1][1])) if moves else 1 / max(1.0, np.linalg.norm(slope))
+        for (s, d, r), a in zip(moves, reversed(kept), strict=True):
+            way += (a - r * (d @ way)) * s
+        rate, down = 1.0, slope @ way
+        while True:
+            new = theta + rate * way
+            new_value, new_slope = loss(new)
+            if new_value <= value + 1e-4 * rate * down or rate < 1e-6:
+                break
+            rate /= 2
+        s, d = new - theta, new_slope - slope
+        done = value - new_value < TOLERANCE * len(y)
+        theta, value, slope = new, new_value, new_slope
+        if done:
+            break
+        if s @ d > 1e-12:
+            moves = [*moves[1 - memory :], (s, d, 1 / (s @ d))]
+    return theta[:n], float(theta[n])
 
 
 @dataclass
@@ -141,53 +198,86 @@ class Model:
 
     weights: np.ndarray
     bias: float
+    table: tuple[Slots, np.ndarray] | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+    def of_words(self, w: Words) -> np.ndarray:
+        """The distinct words' scores: those met before from the table, others by their n-grams."""
+        if self.table is None or self.table[0].held + len(w.keys) > KNOWN // 2:
+            self.table = Slots(KNOWN), np.zeros(KNOWN)
+        known, scores = self.table
+        slot = known.find(w.keys, w.tags)
+        new = np.flatnonzero(slot < 0)
+        out = scores[slot]
+        if len(new):
+            at, found = ngrams(w.texts(new))
+            out[new] = np.bincount(at, self.weights[found], len(new))
+            if len(new) <= KNOWN // 2:
+                scores[known.put(w.keys[new], w.tags[new])] = out[new]
+        return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        doc, word, words = distinct_words(column)
-        at, slot = ngrams(words)
-        some = np.flatnonzero(self.weights[slot] != 0)
-        # an n-gram counts once a word, as in training
-        packed = np.unique((at[some] << 32) | slot[some])
-        n_words = int(word.max()) + 1 if len(word) else 0
-        by_word = np.bincount(packed >> 32, self.weights[packed & 0xFFFFFFFF], n_words)
-        total = np.bincount(doc, by_word[word], len(column)) + self.bias
+        w = Words.of(column)
+        total = np.bincount(w.doc, self.of_words(w)[w.word], len(column)) + self.bias
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``limit`` labelled rows outside the held-out fold.
 
-    The driver receives counts of at most BUCKETS slots and the sampled rows' values of SELECTED of them.
+    The driver receives eight bytes for each distinct word of each sampled row and, for each distinct word
+    of the sample, its slots (at most BUCKETS).  All n-grams enter the fit.  Rows are put in order first, so
+    the model does not depend on how they were dealt to tasks; repeated rows count as often as they stand.
     Without any labelled row, or with one label only, every document has the smoothed rate of toxic rows,
     (toxic + 1) / (rows + 3), so nothing is rejected where nothing was learnt.
     """
     rows = training_rows(docs, labels, label, limit)
-    counts = rows.mapInArrow(_counts, "slot long, clean long, toxic long").groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
-    totals = counts[counts["slot"] < 0]
-    counts = counts[counts["slot"] >= 0]
-    n = [int(totals[c].sum()) for c in ("clean", "toxic")]
-    if min(n) == 0:
-        return Model(np.zeros(BUCKETS), float(np.log((n[1] + 1) / (n[0] + 2))))
-    q, p = (counts[c].to_numpy(float) + SMOOTHING for c in ("clean", "toxic"))
-    ratio = np.log(p / (n[1] + 2 * SMOOTHING)) - np.log(q / (n[0] + 2 * SMOOTHING))
-    telling = np.where(np.abs(ratio) >= LEAST_RATIO, np.abs(ratio), 0) / np.sqrt(1 / p + 1 / q)
-    best = np.argsort(-telling, kind="stable")[:SELECTED]
-    best = best[np.argsort(counts["slot"].to_numpy()[best])]
-    slots = counts["slot"].to_numpy()[best]
-    keep = np.full(BUCKETS, -1, np.int64)
-    keep[slots] = np.arange(len(slots))
-    shared = docs.sparkSession.sparkContext.broadcast(keep)
-    got = rows.mapInArrow(_features(shared), "y int, slots array<int>, counts array<int>").toArrow()
-    lists = [got.column(c).combine_chunks() for c in ("slots", "counts")]
-    edge = lists[0].offsets.to_numpy().astype(np.int64)
-    slot, count = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
-    r = ratio[best]
-    w, b = logistic((got.column("y").to_numpy() > 0).astype(float), edge - edge[0], slot, (count * r[slot]).astype(np.float32), len(slots))
-    weights = np.zeros(BUCKETS)
-    weights[slots] = w * r
+    got = rows.mapInArrow(released(_rows), "id long, y int, words array<long>").toArrow()
+    y = (got.column("y").to_numpy() > 0).astype(float)
+    if not 0 < y.sum() < len(y):
+        return Model(np.zeros(BUCKETS), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 2))))
+    edge, words = _flat(got.column("words"))
+    # rows by doc_id, those of one doc_id by their words: an order that does not depend on the tasks
+    sums = np.add.reduceat(np.append(words.view(U), U(0)), edge[:-1])
+    sums[edge[1:] == edge[:-1]] = 0
+    y, edge, words = _reordered(y, edge, words, np.lexsort((y, sums, got.column("id").to_numpy())))
+    known = rows.mapInArrow(released(_words), "key long, word binary").groupBy("key").agg(F.first("word").alias("word"))
+    table = known.repartition(partitions(docs.sparkSession), "key").mapInArrow(released(_slots), "key long, slots array<int>").toArrow()
+    slot_edge, slots = _flat(table.column("slots"))
+    keys = table.column("key").to_numpy()
+    order = np.argsort(keys)
+    _, slot_edge, slots = _reordered(keys, slot_edge, slots, order)
+    of_docs = Lists(edge, np.searchsorted(keys[order], words).astype(np.int32), len(keys))
+    # frequent slots stand together, which keeps them in the processor's cache
+    name = np.argsort(-np.bincount(slots, minlength=BUCKETS), kind="stable")
+    place = np.empty(BUCKETS, np.int32)
+    place[name] = np.arange(BUCKETS)
+    of_words = Lists(slot_edge, place[slots], BUCKETS)
+    toxic, all_ = (of_words.down(of_docs.down(x)) for x in (y, np.ones(len(y))))
+    p, q = toxic + SMOOTHING, all_ - toxic + SMOOTHING
+    ratio = np.where(all_ > 0, np.log(p / p.sum()) - np.log(q / q.sum()), 0)
+    w, b = logistic(y, of_docs, of_words, ratio)
+    weights = np.empty(BUCKETS)
+    weights[name] = w * ratio
     return Model(weights, b)
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges and items of a column of lists."""
+    lists = column.combine_chunks()
+    edge = lists.offsets.to_numpy().astype(np.int64)
+    return edge - edge[0], lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _reordered(values: np.ndarray, edge: np.ndarray, items: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values and lists in another order."""
+    size = np.diff(edge)[order]
+    to = np.concatenate([[0], np.cumsum(size)])
+    return values[order], to, items[np.arange(to[-1]) + np.repeat(edge[:-1][order] - to[:-1], size)]
+
+
 def _scores(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -199,7 +289,7 @@ def _scores(model):
 def scored(docs: DataFrame, model: Model, threshold: float = REJECT) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row; null and empty texts score the model's bias."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scores(shared), "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_scores(shared)), "doc_id long, score double")
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -213,4 +303,4 @@ def _accepted(model, threshold: float):
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = REJECT) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
-    return docs.mapInArrow(_accepted(docs.sparkSession.sparkContext.broadcast(model), threshold), docs.schema)
+    return docs.mapInArrow(released(_accepted(docs.sparkSession.sparkContext.broadcast(model), threshold)), docs.schema)
