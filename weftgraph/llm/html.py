@@ -1,17 +1,19 @@
-"""Main text of web pages: named boilerplate goes, then subtrees that a host repeats on many pages.
+"""Main text of web pages: subtrees that a host repeats on many pages go, then what is named as boilerplate.
 
-Every block element's subtree is hashed (tags, text and structure, no attributes), and so is every run of
-loose text between blocks.  For each host and hash Spark counts the distinct pages, where pages of the same
-whole text count once, so mirrored copies of an article do not make its paragraphs look like a template.
-A subtree on at least LEAST_PAGES such pages and a share of LEAST_SHARE of the host's is template and goes.
-Mirrors may differ in a line: where templates of less than COMMON_SHARE would leave less than LEAST_LEFT of
-a page's text, they are taken for its article and stay.
+Every block element's subtree is hashed (tags, text and structure, no attributes), wherever it stands, and
+so is every run of loose text between blocks.  For each host and hash Spark counts the distinct pages, where
+pages of the same whole text count once, so mirrored copies of an article do not make its paragraphs look
+like a template.  A subtree on at least LEAST_PAGES such pages and a share of LEAST_SHARE of the host's is
+template and goes; the article is looked for in what is left.  Mirrors may differ in a line: where templates
+of less than COMMON_SHARE would leave less than LEAST_LEFT of a page's text, they are taken for its article
+and stay.
 
 Text blocks (paragraphs, headings, lists, tables and the like) inside an ``article`` or ``main`` element need
 more evidence, because articles do quote the same passages: they go if they stand on a share of COMMON_SHARE
 of the host's pages and in an unbroken run of such blocks at the body's start or end, or, at any place, if
 they stand on EVERYWHERE_PAGES pages and a share of EVERYWHERE_SHARE.  What counts by name (navigation,
-footers, forms, adverts, comments and so on, by tag, role, class or id) goes whether it recurs or not.
+footers, forms, adverts, comments and so on, by tag, role, class or id) goes whether it recurs or not: menus
+and adverts that differ from page to page, and hosts of few pages, have nothing to count.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.shared import written
+from weftgraph.llm.shared import released, written
 from weftgraph.llm.words import chunks
 
 LEAST_PAGES = 3
@@ -38,8 +40,8 @@ EVERYWHERE_PAGES, EVERYWHERE_SHARE = 10, 0.9
 LEAST_LEFT = 0.1
 #: What a template's share of its host's pages lets it do, from LEAST_SHARE on.
 RARE, COMMON, EVERYWHERE = 1, 2, 3
-#: Template lists of at most so many pages are broadcast; beyond it the join shuffles.
-BROADCAST_PAGES = 50_000
+#: Template lists of at most so many entries on all pages are broadcast; beyond it the join shuffles.
+BROADCAST_ENTRIES = 2_000_000
 #: Templates of at most so many (host, subtree) are broadcast; beyond it the join shuffles.
 BROADCAST_SUBTREES = 1_000_000
 HASHES = "page_id long, url string, host long, page long, boxes array<long>, texts array<long>"
@@ -76,7 +78,8 @@ CLOSES = {
 }
 #: Elements across which an open paragraph or formatting element is not closed.
 SCOPE = frozenset("td th table caption html body button object article aside section div nav header footer main form blockquote li dd dt figure fieldset".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quoted value must end before a space, / or >; a tag whose quotes do not ends at its first >.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z))*+(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -163,9 +166,9 @@ def names(value: str, in_article: bool) -> bool:
     return False
 
 
-def named(node: Node, in_article: bool, kept: Set[int] = frozenset()) -> bool:
-    """Whether tag, role, class or id say that the element is not the article's text; for those in ``kept`` only the tag does."""
-    if node.tag in DROP:
+def named(node: Node, in_article: bool, kept: Set[int] = frozenset(), cut: Set[int] = frozenset()) -> bool:
+    """Whether the element is in ``cut``, or tag, role, class or id say that it is not the article's text; for those in ``kept`` only the tag does."""
+    if node.tag in DROP or id(node) in cut:
         return True
     if node.tag == "header" and not in_article:
         return True
@@ -182,54 +185,68 @@ def named(node: Node, in_article: bool, kept: Set[int] = frozenset()) -> bool:
     return False
 
 
-def never_named(root: Node) -> set[int]:
-    """Elements (by ``id``) that stay whatever their name: most of the page's text, its largest ``article`` and ``main``, and what holds them."""
-    size: dict[int, int] = {}
-    largest: dict[str, tuple[int, list[int]]] = {}
-    path: list[int] = []
+def in_order(root: Node) -> list[tuple[Node, Node | None]]:
+    """All elements with their parents, each before what it holds, in page order."""
+    out: list[tuple[Node, Node | None]] = []
+    todo: list[tuple[Node, Node | None]] = [(root, None)]
+    while todo:
+        out.append(pair := todo.pop())
+        todo += [(c, pair[0]) for c in reversed(pair[0].children) if not isinstance(c, str)]
+    return out
 
-    def walk(node: Node) -> int:
-        path.append(id(node))
-        n = sum(len(text_of(c)) if isinstance(c, str) else 0 if c.tag in DROP else walk(c) for c in node.children)
-        size[id(node)] = n
-        if node.tag in ("article", "main") and n >= largest.get(node.tag, (0, []))[0]:
-            largest[node.tag] = n, path.copy()
-        path.pop()
-        return n
 
-    walk(root)
-    return {x for x, n in size.items() if 2 * n > size[id(root)]}.union(*(held for _, held in largest.values()))
+def never_named(root: Node, cut: Set[int] = frozenset()) -> set[int]:
+    """Elements (by ``id``) that stay whatever their name: most of the page's text, its largest ``article`` and ``main``, and what holds them."""
+    size: dict[int, int] = {}
+    up: dict[int, int] = {}
+    largest: dict[str, tuple[int, int]] = {}
+    gone: set[int] = set()
+    every = in_order(root)
+    for node, parent in every:
+        if parent is not None and (id(parent) in gone or node.tag in DROP or id(node) in cut):
+            gone.add(id(node))
+            continue
+        up[id(node)] = id(parent) if parent is not None else 0
+        size[id(node)] = sum(len(text_of(c)) for c in node.children if isinstance(c, str))
+    for node, parent in reversed(every):
+        if id(node) not in gone:
+            if parent is not None:
+                size[id(parent)] += size[id(node)]
+            if node.tag in ("article", "main") and size[id(node)] > largest.get(node.tag, (-1, 0))[0]:
+                largest[node.tag] = size[id(node)], id(node)
+    out = {x for x, n in size.items() if 2 * n > size[id(root)]}
+    for _, at in largest.values():
+        while at:
+            out.add(at)
+            at = up[at]
+    return out
 
 
 def text_of(raw: str) -> str:
     return " ".join((_html.unescape(raw) if "&" in raw else raw).split())
 
 
-def mark(node: Node) -> int:
+def mark(root: Node) -> None:
     """Set the digests of all subtrees; 0 where there is no text."""
-    h = blake2b(node.tag.encode(), digest_size=8)
-    some = False
-    words: list[str] = []
-    for child in node.children:
-        if isinstance(child, str):
-            words.append(child)
-        elif child.tag not in RAW or child.tag == "textarea":
-            if words:
-                if said := text_of("".join(words)):
+    for node, _ in reversed(in_order(root)):
+        h = blake2b(node.tag.encode("utf-8", "replace"), digest_size=8)
+        some = False
+        words: list[str] = []
+        for child in [*node.children, None]:
+            if isinstance(child, str):
+                words.append(child)
+            elif child is None or child.tag not in RAW or child.tag == "textarea":
+                if words and (said := text_of("".join(words))):
                     h.update(said.encode("utf-8", "replace"))
                     some = True
                 words = []
-            if inner := mark(child):
-                h.update(inner.to_bytes(8, "little", signed=True))
-                some = True
-    if words and (said := text_of("".join(words))):
-        h.update(said.encode("utf-8", "replace"))
-        some = True
-    node.digest = int.from_bytes(h.digest(), "little", signed=True) or 1 if some else 0
-    return node.digest
+                if child is not None and child.digest:
+                    h.update(child.digest.to_bytes(8, "little", signed=True))
+                    some = True
+        node.digest = int.from_bytes(h.digest(), "little", signed=True) or 1 if some else 0
 
 
-def bodies(root: Node, kept: Set[int] = frozenset()) -> list[tuple[Node, bool]]:
+def bodies(root: Node, kept: Set[int] = frozenset(), cut: Set[int] = frozenset()) -> list[tuple[Node, bool]]:
     """The elements that hold the article: its outermost ``article``s, else ``main``s, else the whole page."""
     for tag in ("article", "main"):
         out: list[Node] = []
@@ -239,7 +256,7 @@ def bodies(root: Node, kept: Set[int] = frozenset()) -> list[tuple[Node, bool]]:
             if node.tag == tag or tag == "main" and "main" in (v.lower() for n, *vs in _ATTR.findall(node.attrs) if n.lower() == "role" for v in vs):
                 out.append(node)
                 continue
-            todo += [c for c in reversed(node.children) if not isinstance(c, str) and not named(c, False, kept)]
+            todo += [c for c in reversed(node.children) if not isinstance(c, str) and not named(c, False, kept, cut)]
         if out:
             return [(n, True) for n in out]
     return [(root, False)]
@@ -251,78 +268,122 @@ def digest_of(text: str) -> int:
 
 @dataclass
 class Leaf:
-    """A block's text, and the digests of the subtrees it stands in: boxes, and text blocks of an article."""
+    """A block's text and the innermost ``scope`` it stands in, an index into those of its page."""
 
     said: str
-    boxes: tuple[int, ...]
-    texts: tuple[int, ...]
+    scope: int
 
 
-def leaves(root: Node) -> list[list[Leaf]]:
-    """The blocks of each of the page's bodies in page order, without named boilerplate."""
+@dataclass
+class Scopes:
+    """The hashed subtrees around a page's leaves: each one's parent (-1: none), digest, and whether it is a text block of an article."""
+
+    parent: list[int]
+    digest: list[int]
+    text: list[bool]
+
+    def add(self, parent: int, digest: int, text: bool) -> int:
+        self.parent.append(parent)
+        self.digest.append(digest)
+        self.text.append(text)
+        return len(self.parent) - 1
+
+    def levels(self, template: Mapping[int, int]) -> list[tuple[bool, int]]:
+        """For each scope whether it is in a box of ``template``, and the greatest level of the text blocks it is in."""
+        out: list[tuple[bool, int]] = []
+        for parent, digest, text in zip(self.parent, self.digest, self.text, strict=True):
+            boxed, level = out[parent] if parent >= 0 else (False, 0)
+            found = template.get(digest, 0)
+            out.append((boxed, max(level, found)) if text else (boxed or found > 0, level))
+        return out
+
+
+def leaves(root: Node, cut: Set[int] = frozenset()) -> tuple[list[list[Leaf]], Scopes]:
+    """The blocks of each of the page's bodies in page order, without named boilerplate and the elements in ``cut``."""
     out: list[list[Leaf]] = []
+    scopes = Scopes([], [], [])
+    kept = never_named(root, cut)
+    holds = block_holders(root)
     words: list[str] = []
-    kept = never_named(root)
 
-    def end(in_article: bool, boxes: tuple[int, ...], texts: tuple[int, ...], mixed: bool) -> None:
+    def end(in_article: bool, scope: int, mixed: bool) -> None:
         if words:
             if said := text_of("".join(words)):
                 if mixed:
-                    own = (digest_of(f"#text {said}"),)
-                    boxes, texts = (boxes, texts + own) if in_article else (boxes + own, texts)
-                out[-1].append(Leaf(said, boxes, texts))
+                    scope = scopes.add(scope, digest_of(f"#text {said}"), in_article)
+                out[-1].append(Leaf(said, scope))
             words.clear()
 
-    def walk(node: Node, in_article: bool, boxes: tuple[int, ...], texts: tuple[int, ...], mixed: bool) -> None:
-        """``mixed``: the node's loose text is not the whole of a hashed element, so it is a block by itself."""
-        for child in node.children:
-            if isinstance(child, str):
+    for body, in_article in bodies(root, kept, cut):
+        out.append([])
+        # (children to come, is a block, innermost scope, whether loose text is a block by itself)
+        todo = [(iter(body.children), True, -1, True)]
+        while todo:
+            children, block, scope, mixed = todo[-1]
+            child = next(children, None)
+            if child is None:
+                if block:
+                    end(in_article, scope, mixed)
+                todo.pop()
+            elif isinstance(child, str):
                 words.append(child)
-                continue
-            if child.tag == "br":
+            elif child.tag == "br":
                 words.append(" ")
-                continue
-            block = child.tag in BLOCK
-            if named(child, in_article, kept):
-                if block:
-                    end(in_article, boxes, texts, mixed)
-                continue
-            if not block:
-                walk(child, in_article, boxes, texts, mixed)
-                continue
-            end(in_article, boxes, texts, mixed)
-            inner, its = boxes, texts
-            if child.digest:
-                inner, its = (boxes, texts + (child.digest,)) if in_article and child.tag in TEXT else (boxes + (child.digest,), texts)
-            apart = not child.digest or has_block(child)
-            walk(child, in_article, inner, its, apart)
-            end(in_article, inner, its, apart)
-
-    for node, in_article in bodies(root, kept):
-        out.append([])
-        walk(node, in_article, (), (), True)
-        end(in_article, (), (), True)
+            elif named(child, in_article, kept, cut):
+                if child.tag in BLOCK:
+                    end(in_article, scope, mixed)
+            elif child.tag not in BLOCK:
+                todo.append((iter(child.children), False, scope, mixed))
+            else:
+                end(in_article, scope, mixed)
+                inner = scopes.add(scope, child.digest, in_article and child.tag in TEXT) if child.digest else scope
+                todo.append((iter(child.children), True, inner, not child.digest or id(child) in holds))
+    return out, scopes
+
+
+def block_holders(root: Node) -> set[int]:
+    """Elements (by ``id``) that hold block elements."""
+    out: set[int] = set()
+    for node, parent in reversed(in_order(root)):
+        if parent is not None and (node.tag in BLOCK or id(node) in out):
+            out.add(id(parent))
     return out
 
 
-def has_block(node: Node) -> bool:
-    return any(not isinstance(c, str) and (c.tag in BLOCK or has_block(c)) for c in node.children)
+def outer(root: Node) -> list[Node]:
+    """Block elements with text that stand outside every ``article`` and ``main`` and hold none, whatever their names."""
+    inside: set[int] = set()
+    holders: set[int] = set()
+    every = in_order(root)
+    for node, parent in every:
+        if node.tag in ("article", "main") or parent is not None and id(parent) in inside:
+            inside.add(id(node))
+    for node, parent in reversed(every):
+        if parent is not None and (id(node) in inside or id(node) in holders):
+            holders.add(id(parent))
+    return [n for n, _ in every if n.digest and n.tag in BLOCK and n.tag not in ("html", "body") and id(n) not in inside and id(n) not in holders]
 
 
 def blocks(root: Node, template: Mapping[int, int] = MappingProxyType({})) -> list[str]:
-    """The article's blocks in page order, without named boilerplate and what ``template`` (digest: RARE, COMMON, EVERYWHERE) takes."""
-    out: list[str] = []
-    page = leaves(root)
+    """The article's blocks in page order, without what ``template`` (digest: RARE, COMMON, EVERYWHERE) takes and named boilerplate."""
+    page, scopes = leaves(root)
+    if not template:
+        return [leaf.said for body in page for leaf in body]
     found = [leaf for body in page for leaf in body]
-    if sum(len(x.said) for x in found if not any(d in template for d in x.boxes)) < LEAST_LEFT * sum(len(x.said) for x in found):
+    levels = scopes.levels(template)
+    if sum(len(x.said) for x in found if x.scope < 0 or not levels[x.scope][0]) < LEAST_LEFT * sum(len(x.said) for x in found):
         template = {d: level for d, level in template.items() if level != RARE}
+    if cut := {id(n) for n in outer(root) if n.digest in template}:
+        page, scopes = leaves(root, cut)
+    levels = scopes.levels(template)
+    out: list[str] = []
     for body in page:
-        box = [any(d in template for d in leaf.boxes) for leaf in body]
-        gone = [b or any(template.get(d) == EVERYWHERE for d in leaf.texts) for b, leaf in zip(box, body, strict=True)]
+        at = [levels[leaf.scope] if leaf.scope >= 0 else (False, 0) for leaf in body]
+        gone = [boxed or level == EVERYWHERE for boxed, level in at]
         for way in (range(len(body)), range(len(body) - 1, -1, -1)):
             for i in way:
                 # a box at the edge ends the run: what stands inside of it is not at the edge
-                if box[i] or not gone[i] and not any(template.get(d, 0) >= COMMON for d in body[i].texts):
+                if at[i][0] or not gone[i] and at[i][1] < COMMON:
                     break
                 gone[i] = True
         out += [leaf.said for leaf, g in zip(body, gone, strict=True) if not g]
@@ -348,8 +409,16 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = parse(raw or "")
             mark(root)
             host = digest_of(host_of(url))
-            found = [leaf for body in leaves(root) for leaf in body]
-            boxes, texts = ({at_host(d, host) for leaf in found for d in getattr(leaf, kind)} for kind in ("boxes", "texts"))
+            page_leaves, scopes = leaves(root)
+            found = [leaf for body in page_leaves for leaf in body]
+            held = set()
+            for leaf in found:
+                at = leaf.scope
+                while at >= 0 and at not in held:
+                    held.add(at)
+                    at = scopes.parent[at]
+            texts = {at_host(scopes.digest[i], host) for i in held if scopes.text[i]}
+            boxes = {at_host(scopes.digest[i], host) for i in held if not scopes.text[i]} | {at_host(n.digest, host) for n in outer(root)}
             name = digest_of("\n".join(leaf.said for leaf in found))
             rows.append((page, url, host, name, list(boxes), list(texts)))
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -377,7 +446,7 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     repeated results; other columns are ignored.
     """
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
-    seen = written(pages.mapInArrow(_hashes, HASHES), "page-subtrees")
+    seen = written(pages.mapInArrow(released(_hashes), HASHES), "page-subtrees")
     n_pages = seen.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     rows = lambda *c: seen.select(*c, F.explode("boxes").alias("subtree"), F.lit(True).alias("box")).unionByName(seen.select(*c, F.explode("texts").alias("subtree"), F.lit(False).alias("box")))
     distinct = rows("host", "page").groupBy("host", "page", "subtree").agg(F.max("box").alias("box"))
@@ -389,7 +458,7 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
         often = F.broadcast(often)
     gone = rows("page_id", "url").join(often, "subtree").groupBy("page_id", "url").agg(F.collect_set(F.struct("subtree", "level")).alias("template"))
     gone = written(gone.select(F.col("page_id").alias("p"), F.col("url").alias("u"), "template"), "page-templates")
-    if gone.count() <= BROADCAST_PAGES:
+    if (gone.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_ENTRIES:
         gone = F.broadcast(gone)
     rows = pages.join(gone, F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")), "left")
-    return rows.select("page_id", "url", "html", "template").mapInArrow(_texts, OUT)
+    return rows.select("page_id", "url", "html", "template").mapInArrow(released(_texts), OUT)
