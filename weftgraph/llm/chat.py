@@ -23,8 +23,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.shared import partitions
-from weftgraph.llm.words import buffers
+from weftgraph.llm.shared import partitions, released
+from weftgraph.llm.words import buffers, chunks
 
 #: role -> opener, closer
 TEMPLATE = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system": ("<<SYS>>", "<</SYS>>")}
@@ -80,10 +80,8 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, part = object(), 0
-    for batch in batches:
+    for batch in chunks(batches, "text"):
         n = batch.num_rows
-        if not n:
-            continue
         ids = batch.column("conv_id")
         roles = pc.fill_null(batch.column("role"), "").cast(pa.string())
         out, starts, begin, end = assemble(roles, batch.column("text"))
@@ -122,11 +120,12 @@ def format_chat(turns: DataFrame) -> DataFrame:
     ``turn_starts``, ``loss_starts`` and ``loss_ends`` are byte positions in the UTF-8 of ``formatted``; the
     loss spans hold the (escaped) assistant texts.  Null text is empty, null role is a role of empty
     name, null conv_id is a conversation of its own, rows of equal (conv_id, turn) follow by role, then
-    text, and repeated rows stay.  Other columns are ignored.  Each task streams its sorted rows.
+    text, and repeated rows stay.  Other columns are ignored.  Each task streams its sorted rows, of which it
+    holds some 2 MB, or a single longer text, several times over.
     """
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     rows = rows.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(_parts, PARTS)
+    return rows.mapInArrow(released(_parts), PARTS)
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -171,8 +170,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(parts: DataFrame) -> DataFrame:
-    """One row per conversation, read back from the parts of ``format_chat`` in their order."""
-    return parts.mapInArrow(_digests, DIGEST)
+    """One row per conversation, read back from the parts of ``format_chat``, wherever and in whatever order they were stored.
+
+    A conversation's digests are sequential by definition, so one task streams its parts.
+    """
+    rows = parts.select("conv_id", "part", "formatted", "loss_starts", "loss_ends")
+    rows = rows.repartition(partitions(parts.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part")
+    return rows.mapInArrow(released(_digests), DIGEST)
 
 
 def with_probe(turns: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import chat, decontamination, fingerprints, html, mixing, neardup, quality, substrings, tokens, toxicity
-from weftgraph.llm.shared import table
+from weftgraph.llm.shared import table, written
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -49,7 +49,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.digests(chat.format_chat(chat.with_probe(table(spark, sf_dir, "conversations"))))
+    return chat.digests(written(chat.format_chat(chat.with_probe(table(spark, sf_dir, "conversations"))), "chat"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
