@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from weftgraph.llm.shared import partitions
+from weftgraph.llm.shared import fresh, partitions
 
 K, S = 4, 2
 SYMBOL = r"[^\x20\x09-\x0D]{1,16}"
@@ -24,7 +24,7 @@ def with_anchors(df: DataFrame, text: str, out: str, positions: bool = False) ->
     With ``positions`` every element keeps its place, so index i is the k-mer at word i.  Each step is a
     column of its own: lambdas then read a finished array instead of evaluating its expression again.
     """
-    p, h = f"__p_{out}", f"__h_{out}"
+    p, h = fresh(df.columns, f"p_{out}", f"h_{out}")
     df = df.withColumn(p, F.regexp_extract_all(F.col(text), F.lit(SYMBOL), F.lit(0)))
     df = df.withColumn(h, F.transform(p, lambda x, i: F.xxhash64(x, F.get(p, i + 1))))
     # h[i] covers words i, i+1; its last element has no second word and only stands in dropped k-mers
@@ -41,7 +41,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     A text without anchors (fewer than four words, or none chosen) has the hash of its whole as its only
     one, so equal texts have equal fingerprints and no fingerprint is empty.
     """
-    anchors, held = f"__a_{out}", f"__f_{out}"
+    anchors, held = fresh(df.columns, f"a_{out}", f"f_{out}")
     df = with_anchors(df, text, anchors, positions=True)
     df = df.withColumn(held, F.array_compact(F.transform(anchors, lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("at"), x.alias("anchor"))))))
     whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.lit("whole"), F.col(text)).alias("anchor")))
@@ -66,17 +66,26 @@ def as_text(fingerprint: Column | str) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.concat(digits(x["at"], 8), digits(x["anchor"], 16))), "")
 
 
+def not_above(cuts: list[int], value: Column) -> Column:
+    """How many of the ascending ``cuts`` are not above ``value``, by binary search."""
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    held = F.array(*[F.lit(x).cast("long") for x in cuts])
+    known = lambda at, step: F.get(held, at + step - 1) <= value
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, step: at + F.when(known(at, step), step).otherwise(0))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` with ``next_text`` of the next row in descending doc_id (after the last: the first).
 
-    Rows are dealt by ranges of doc_id; the last row of every range also goes to the range above it, so
+    Rows are dealt by ranges of doc_id of about equal numbers of rows, whatever the ids; the last row of every range also goes to the range above it, so
     no order over the whole table is needed.  Null doc_id counts as below all others, rows of equal
     doc_id follow by text.
     """
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    ranges = 4 * partitions(docs.sparkSession)
-    width = max(1, ((high or 0) - (low or 0)) // ranges + 1)
-    place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("int"))
+    n = 4 * partitions(docs.sparkSession)
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)], max(10_000, 100 * n))).first()[0] or []
+    place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(not_above(sorted(set(cuts)), F.col("doc_id").cast("long")))
     rows = docs.select(place.alias("__range"), F.lit(1).alias("__own"), "doc_id", "text")
     # at most one row per range: a size fixed by the number of partitions, so it may be broadcast
     tops = rows.groupBy("__range").agg(F.max("doc_id").alias("top"))
@@ -98,7 +107,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: its fingerprint, its edited text's, and their likenesses.
 
     The edited text replaces the last floor(n_chars / 2) code points by the first as many of the next
-    document.  Fingerprints are written as ``as_text`` does.  Null text is empty; an empty table gives no rows; a single row is its own next.
+    document.  Fingerprints are written as ``as_text`` does.  Null text is empty; an empty table gives no rows; a
+    single row is its own next; rows of equal doc_id follow by text, repeated ones each have their own row;
+    other columns are ignored.  A row's three texts and their symbols, some 100 bytes a word, are in memory at once.
     """
     rows = with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
