@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from weftgraph.llm.shared import released
 from weftgraph.llm.words import U, buffers, chunks, mix64, spans, word_hashes
 
 WINDOW = 13
@@ -32,6 +33,8 @@ LEAST_WORDS = 9
 #: A block of items ends after so many items, or so many characters.
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 16 << 20
+#: Seed hits, and alignments, that a task looks at at a time.
+AT_ONCE, ALIGNMENTS = 1 << 20, 1 << 12
 HITS = "doc_id long, item_id long, doc_word long, n_equal int, n_compared int"
 
 IS_WORD = np.zeros(256, bool)
@@ -83,10 +86,19 @@ def short_masks(width: int, bad: int) -> list[tuple[int, ...]]:
     """
     if not bad:
         return [tuple(range(width))]
+    if width < bad + 2:
+        raise ValueError(f"of {width} words {bad} may differ, which leaves no two for a seed")
     cuts = [width * i // (bad + 2) for i in range(bad + 3)]
     return [tuple(x for i in two for x in range(cuts[i], cuts[i + 1])) for two in combinations(range(bad + 2), 2)]
 
 
+def masks_of(window: int, bad: int) -> list[tuple[int, ...]] | tuple[tuple[int, ...], ...]:
+    """MASKS, if they hit every ``window`` words of which ``bad`` differ, else masks made for these."""
+    if math.comb(window, min(bad, window)) <= 10_000 and all(any(not {o + x for x in m} & set(gone) for m in MASKS for o in range(window - m[-1])) for gone in combinations(range(window), min(bad, window))):
+        return MASKS
+    return short_masks(window, bad)
+
+
 @dataclass
 class Index:
     """Seeds of one block of items.  Items of fewer words than ``window`` have masks of their own, from their first word."""
@@ -107,7 +119,7 @@ class Index:
         size = np.diff(firsts)
         item = np.repeat(np.arange(len(ids)), size)
         short = sorted(set(size[(size > 0) & (size < window)].tolist()))
-        widths = [(m, 0) for m in MASKS] + [(m, n) for n in short for m in short_masks(n, n - needed(n, window, similarity))]
+        widths = [(m, 0) for m in masks_of(window, window - needed(window, window, similarity))] + [(m, n) for n in short for m in short_masks(n, n - needed(n, window, similarity))]
         masks = [m for m, _ in widths]
         hashes, items, places = [], [], []
         for mask, width in widths:
@@ -121,9 +133,12 @@ class Index:
         return cls(np.array(ids, np.int64), words, firsts, masks, hashes, items, places, window, similarity)
 
     def find(self, words: np.ndarray, firsts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, first document word, equal words, compared words): the best window of each pair."""
-        found: set[tuple[int, int, int]] = set()
+        """(document, item, first document word, equal words, compared words): the best window of each pair.
+
+        Seeds that many items or positions share are looked at AT_ONCE at a time.
+        """
         doc_of = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+        found = [np.empty((3, 0), np.int64)]
         for mask, known, items, places in zip(self.masks, self.hashes, self.items, self.places, strict=True):
             if not len(known):
                 continue
@@ -134,30 +149,59 @@ class Index:
             some = seen[h >> U(64 - bits)]
             at, h = at[some], h[some]
             low, high = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
-            n = high - low
-            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            at = np.repeat(at, n)
-            doc = doc_of[at]
-            # the document word against which the item's first word stands
-            lag = at - firsts[doc] - places[entry]
-            found.update(zip(*np.unique(np.stack([doc, items[entry], lag]), axis=1).tolist(), strict=True))
+            for first, size in _spread(low, high - low):
+                rows = np.repeat(at[first], size[first])
+                entry = np.arange(len(rows)) - np.repeat(np.cumsum(size[first]) - size[first], size[first]) + np.repeat(low[first], size[first])
+                doc = doc_of[rows]
+                # the document word against which the item's first word stands
+                found.append(np.unique(np.stack([doc, items[entry], rows - firsts[doc] - places[entry]]), axis=1))
+        found = np.unique(np.concatenate(found, 1), axis=1)
         best: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
-        for doc, item, lag in found:
-            a = self.words[self.firsts[item] : self.firsts[item + 1]]
-            b = words[firsts[doc] : firsts[doc + 1]]
-            low, high = max(0, -lag), min(len(a), len(b) - lag)
-            width = min(self.window, len(a))
-            if high - low < width:
-                continue
-            equal = np.concatenate([[0], np.cumsum(a[low:high] == b[low + lag : high + lag])])
-            runs = equal[width:] - equal[:-width]
-            k = int(runs.argmax())
-            need = needed(width, self.window, self.similarity)
-            if runs[k] >= need and (old := best.get((doc, item), (0, 0, 0, -1, 0)))[3] <= runs[k]:
-                new = (doc, item, low + lag + k, int(runs[k]), width)
-                best[doc, item] = new if old[3] < runs[k] else min(old, new)
+        for a in range(0, found.shape[1], ALIGNMENTS):
+            for new in self._windows(words, firsts, *found[:, a : a + ALIGNMENTS]):
+                old = best.get(new[:2])
+                if old is None or (new[3], -new[2]) > (old[3], -old[2]):
+                    best[new[:2]] = new
         return sorted(best.values())
 
+    def _windows(self, words: np.ndarray, firsts: np.ndarray, doc: np.ndarray, item: np.ndarray, lag: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """The best window of each alignment that holds enough equal words, the earliest of equal ones."""
+        size = np.diff(self.firsts)[item]
+        low, high = np.maximum(0, -lag), np.minimum(size, np.diff(firsts)[doc] - lag)
+        width = np.minimum(self.window, size)
+        good = high - low >= width
+        doc, item, lag, low, high, width = (x[good] for x in (doc, item, lag, low, high, width))
+        if not len(doc):
+            return
+        need = np.array([needed(w, self.window, self.similarity) for w in range(self.window + 1)])[width]
+        n = high - low
+        edge = np.cumsum(n) - n
+        inner = np.arange(n.sum()) - np.repeat(edge, n)
+        at = np.repeat(low, n) + inner
+        equal = self.words[np.repeat(self.firsts[item], n) + at] == words[np.repeat(firsts[doc] + lag, n) + at]
+        seen = np.concatenate([[0], np.cumsum(equal)])
+        wide = np.repeat(width, n)
+        here = np.arange(len(inner))
+        fits = inner + wide <= np.repeat(n, n)
+        runs = np.where(fits, seen[np.minimum(here + wide, len(inner))] - seen[here], -1)
+        # the most equal words first, then the earliest place
+        rank = runs.astype(np.int64) * (1 << 32) + ((1 << 32) - 1 - inner)
+        top = np.maximum.reduceat(rank, edge)
+        most, place = top >> 32, (1 << 32) - 1 - (top & ((1 << 32) - 1))
+        for k in np.flatnonzero(most >= need).tolist():
+            yield int(doc[k]), int(item[k]), int(low[k] + lag[k] + place[k]), int(most[k]), int(width[k])
+
+
+def _spread(low: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of the entries with any size in runs of about AT_ONCE in all; one larger than that is a run by itself."""
+    some = np.flatnonzero(size)
+    ends = np.cumsum(size[some])
+    at = 0
+    while at < len(some):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+        yield some[at:to], size
+        at = to
+
 
 def blocks(benchmark: DataFrame) -> Iterator[tuple[list[int], list[str | None]]]:
     """The items in blocks of bounded size; the driver holds one block at a time."""
@@ -207,7 +251,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
     for index in _indexes(docs, benchmark, window, similarity):
-        some = docs.mapInArrow(_hits(index), HITS)
+        some = docs.mapInArrow(released(_hits(index)), HITS)
         out = some if out is None else out.unionByName(some)
     return out if out is not None else docs.sparkSession.createDataFrame([], HITS)
 
@@ -226,5 +270,5 @@ def _clean(index):
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows that overlap with any item; all columns and all other rows stay as they are."""
     for index in _indexes(docs, benchmark, window, similarity):
-        docs = docs.mapInArrow(_clean(index), docs.schema)
+        docs = docs.mapInArrow(released(_clean(index)), docs.schema)
     return docs
