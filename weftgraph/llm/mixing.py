@@ -8,7 +8,8 @@ redistribution.  All comparisons are on whole numbers (decimal(38,0)), so reruns
 A document is then taken ``floor(target / source size)`` whole times, and the remainder of the target is
 filled in the order of a seeded hash; the document at the quota's edge is taken in part.  The edge is
 found without sorting a source: word counts are summed by hash prefix, a running sum over the prefixes
-finds the one prefix in which the quota ends, and only that prefix's documents are sorted.
+finds the one prefix in which the quota ends, which is divided again by a longer prefix, until few enough
+documents are left to be sorted.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from weftgraph.llm.shared import written
+from weftgraph.llm.shared import BROADCAST_ROWS, fresh, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
-PREFIX_CHARS = 3
-BROADCAST_PLACES = 500_000
+#: Characters of the hash by which a level of the search for a source's edge divides it, and those it has.
+PREFIX_CHARS, KEY_CHARS = 3, 32
+#: Rows of a source that are sorted by their whole hash.
+EDGE_ROWS = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 _BIG = "decimal(38,0)"
 
@@ -66,40 +69,60 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP)
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+def edges(slim: DataFrame, goal: DataFrame, names: Sequence[str], edge_rows: int = EDGE_ROWS) -> DataFrame:
+    """For each source with words left to fill, where in the order of keys they end: ``source, cut, before, n``.
+
+    Of ``slim`` (source, key, size in columns ``names``) rows whose key begins with less than ``cut`` are taken,
+    ``before`` words in all, greater ones are not, and ``n`` rows begin with it.  A level sums the words by
+    PREFIX_CHARS more characters of the key, for the rows of the last level's cut only, until no cut has more
+    than ``edge_rows`` rows, so no source is ever sorted.  ``goal`` has ``source`` and ``rest``.
+    """
+    source, key, size = names
+    at = goal.where("rest > 0").select("source", "rest", F.lit("").alias("cut"), F.lit(0).cast("long").alias("before"))
+    for chars in range(PREFIX_CHARS, KEY_CHARS + PREFIX_CHARS, PREFIX_CHARS):
+        last = at.select(F.col("source").alias("of"), "rest", "cut", F.col("before").alias("base"))
+        last = F.broadcast(last) if last.count() <= BROADCAST_ROWS else last
+        inside = slim.join(last, F.col(source).eqNullSafe(F.col("of")) & (F.substring(F.col(key), 1, chars - PREFIX_CHARS) == F.col("cut")))
+        sums = inside.groupBy("of", "rest", "base", F.substring(F.col(key), 1, chars).alias("cut")).agg(F.sum(size).alias("sum"), F.count(F.lit(1)).alias("n"))
+        running = W.partitionBy("of").orderBy("cut").rowsBetween(W.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.col("base") + F.coalesce(F.sum("sum").over(running), F.lit(0)))
+        sums = sums.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("sum") >= F.col("rest")))
+        at = written(sums.select(F.col("of").alias("source"), "rest", "cut", "before", "n"), "mix-edges")
+        if (at.agg(F.max("n")).first()[0] or 0) <= edge_rows:
+            break
+    return at
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED, edge_rows: int = EDGE_ROWS) -> DataFrame:
     """``docs`` with ``size, source_size, target, taken``: words of each row, of its source, and those the mix takes.
 
     Null text has size 0; null sources are one source, after all others; a source of size 0 gets target
     0; an empty table gives an empty result.  Rows with equal doc_id are separate rows and share a place
     in the seeded order (then by size).  Columns of ``docs`` named like a result column are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)))
-    rows = docs.select(*kept, n_words(F.col("text")).alias("size"), key.alias("__key"))
-    rows = rows.withColumn("__prefix", F.substring("__key", 1, prefix_chars))
-    by_prefix = docs.select("source", n_words(F.col("text")).alias("size"), F.substring(key, 1, prefix_chars).alias("__prefix"))
-    by_prefix = by_prefix.groupBy("source", "__prefix").agg(F.sum("size").alias("__sum"))
-    goal = targets(by_prefix.groupBy("source").agg(F.sum("__sum").alias("source_size")), weights, cap)
-    running = W.partitionBy("source").orderBy("__prefix").rowsBetween(W.unboundedPreceding, -1)
-    place = by_prefix.select("source", "__prefix", "__sum", F.coalesce(F.sum("__sum").over(running), F.lit(0)).alias("__before"))
-    goal = goal.withColumnRenamed("source", "__source")
-    place = place.join(goal, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    kept = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
+    key, of, goal_size, goal_target, whole, rest, cut, before, extra = fresh([*docs.columns, "size", "taken"], "key", "of", "goal_size", "goal_target", "whole", "rest", "cut", "before", "extra")
+    md5 = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)))
+    # source, key and size are a few bytes a row: texts are read twice, and sorted nowhere but at the edge
+    slim = written(docs.select(F.col("source").alias(of), md5.alias(key), n_words(F.col("text")).alias("size")), "mix-sizes")
+    goal = targets(slim.groupBy(F.col(of).alias("source")).agg(F.sum("size").alias("source_size")), weights, cap)
     # an empty source has no words to repeat, so its division is skipped
-    whole = F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(F.lit(0))
-    place = place.withColumn("__whole", whole).withColumn("__rest", F.col("quota") - F.col("__whole") * F.col("source_size"))
-    place = written(place.select(F.col("source").alias("__s"), F.col("__prefix").alias("__p"), "__sum", "__before", "source_size", "target", "__whole", "__rest"), "mix-places")
-    # at most sources x 16 ** prefix_chars rows; beyond the checked bound the join shuffles
-    if place.count() <= BROADCAST_PLACES:
-        place = F.broadcast(place)
-    rows = rows.join(place, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__prefix") == F.col("__p")))
-    edge = (F.col("__before") < F.col("__rest")) & (F.col("__before") + F.col("__sum") > F.col("__rest"))
-    inside = F.when(F.col("__before") < F.col("__rest"), F.col("size")).otherwise(F.lit(0))
-    plain = rows.where(~edge).withColumn("__extra", inside)
-    order = W.partitionBy("source", "__prefix").orderBy("__key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    seen = F.col("__before") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    cut = rows.where(edge).withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("__rest") - seen)))
-    out = plain.unionByName(cut)
-    return out.select(*kept, "size", "source_size", "target", (F.col("__whole") * F.col("size") + F.col("__extra")).cast("long").alias("taken"))
+    goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(F.lit(0)))
+    goal = written(goal.withColumn("rest", F.col("quota") - F.col("whole") * F.col("source_size")), "mix-targets")
+    at = edges(slim, goal, (of, key, "size"), edge_rows).select(F.col("source").alias("s"), "cut", "before")
+    goal = goal.join(at, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias(of), F.col("source_size").alias(goal_size), F.col("target").alias(goal_target), F.col("whole").alias(whole), F.col("rest").alias(rest), F.col("cut").alias(cut), F.col("before").alias(before))
+    if goal.count() <= BROADCAST_ROWS:
+        goal = F.broadcast(goal)
+    rows = docs.select(*[F.col(c) for c in kept], n_words(F.col("text")).alias("size"), md5.alias(key))
+    rows = rows.join(goal, F.col("source").eqNullSafe(F.col(of)))
+    begin = F.substring(F.col(key), F.lit(1), F.length(cut))
+    edge = F.col(cut).isNotNull() & (begin == F.col(cut))
+    plain = rows.where(~edge).withColumn(extra, F.when(F.col(cut).isNotNull() & (begin < F.col(cut)), F.col("size")).otherwise(F.lit(0)))
+    order = W.partitionBy("source").orderBy(key, "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    seen = F.col(before) + F.coalesce(F.sum("size").over(order), F.lit(0))
+    last = rows.where(edge).withColumn(extra, F.greatest(F.lit(0), F.least(F.col("size"), F.col(rest) - seen)))
+    out = plain.unionByName(last)
+    return out.select(*[F.col(c) for c in kept], "size", F.col(goal_size).alias("source_size"), F.col(goal_target).alias("target"), (F.col(whole) * F.col("size") + F.col(extra)).cast("long").alias("taken"))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
@@ -109,16 +132,17 @@ def repeated(mixed: DataFrame) -> DataFrame:
     is such a column.
     """
     size, taken = F.col("size"), F.col("taken")
+    some, n, i = fresh(mixed.columns, "part", "n", "i")
     times = F.when(size > 0, F.expr("taken div size")).otherwise(F.lit(0))
     part = F.when(size > 0, taken % size).otherwise(F.lit(0))
-    rows = mixed.withColumn("__part", part).withColumn("__n", times + (part > 0).cast("long")).where("__n > 0")
-    rows = rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    last = (F.col("__i") == F.col("__n")) & (F.col("__part") > 0)
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("__part").cast("int"))
+    rows = mixed.withColumn(some, part).withColumn(n, times + (part > 0).cast("long")).where(F.col(n) > 0)
+    rows = rows.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n))))
+    last = (F.col(i) == F.col(n)) & (F.col(some) > 0)
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col(some).cast("int"))
     rows = rows.withColumn("text", F.when(last, F.array_join(words, " ")).otherwise(F.col("text")))
     if "n_chars" in rows.columns:
         rows = rows.withColumn("n_chars", F.when(last, F.char_length("text").cast(rows.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.drop("__part", "__n", "__i")
+    return rows.drop(some, n, i)
 
 
 ORACLE = rf"""
