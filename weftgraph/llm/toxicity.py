@@ -100,9 +100,18 @@ def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches, "text"):
         w = Words.of(batch.column("text"))
-        edge = np.searchsorted(w.doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(w.keys[w.word].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), lists], names=["id", "y", "words"])
+        sizes = np.bincount(w.doc, minlength=batch.num_rows)
+        yield _packed(batch.column("id").to_numpy(), batch.column("y").to_numpy().astype(np.int64), sizes, w.keys[w.word])
+
+
+def _packed(*arrays: np.ndarray) -> pa.RecordBatch:
+    """A batch's arrays as one row of bytes each, so that the driver takes in a partition at a time."""
+    return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in arrays], names=[f"a{i}" for i in range(len(arrays))])
+
+
+def _unpacked(df: DataFrame, *kinds: type) -> Iterator[list[np.ndarray]]:
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        yield [np.frombuffer(raw, kind) for raw, kind in zip(row, kinds, strict=True)]
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,34 +128,41 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "word"):
+    for batch in chunks(batches, "word", 1 << 18):
         at, slot = ngrams(batch.column("word").to_pylist())
-        edge = np.searchsorted(at, np.arange(batch.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(edge), pa.array(slot.astype(np.int32)))], names=["key", "slots"])
+        yield _packed(batch.column("key").to_numpy(), np.bincount(at, minlength=batch.num_rows), slot.astype(np.int32))
 
 
 class Lists:
     """Sums over lists of indices: ``up`` adds up each list's values, ``down`` spreads a value to each list's indices."""
 
-    def __init__(self, edge: np.ndarray, index: np.ndarray, n: int):
-        self.edge, self.index, self.n = edge, index, n
-        cuts = np.unique(np.searchsorted(edge, np.arange(0, len(index) + BLOCK, BLOCK), "left"))
-        self.cuts = np.unique(np.concatenate([[0], cuts[cuts < len(edge)], [len(edge) - 1]]))
+    def __init__(self, blocks: list[tuple[np.ndarray, np.ndarray]], n: int):
+        """Each block holds the sizes of its lists and their indices, below ``n``."""
+        self.blocks = [(np.concatenate([[0], np.cumsum(sizes)]), index) for sizes, index in blocks]
+        self.n = n
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, index: np.ndarray, n: int) -> Lists:
+        edge = np.concatenate([[0], np.cumsum(sizes)])
+        cuts = np.unique(np.append(np.searchsorted(edge, np.arange(0, edge[-1] + BLOCK, BLOCK), "left"), len(sizes)))
+        cuts = cuts[cuts <= len(sizes)].tolist()
+        return cls([(sizes[a:b], index[edge[a] : edge[b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], n)
 
     def up(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.edge) - 1)
-        for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True):
-            at = self.edge[a:b] - self.edge[a]
+        out = [np.zeros(0)]
+        for edge, index in self.blocks:
             # one more item, as an empty list at the end has no place to begin at
-            run = np.zeros(self.edge[b] - self.edge[a] + 1)
-            np.take(values, self.index[self.edge[a] : self.edge[b]], out=run[:-1], mode="clip")
-            out[a:b] = np.where(self.edge[a + 1 : b + 1] > self.edge[a:b], np.add.reduceat(run, at), 0)
-        return out
+            run = np.zeros(len(index) + 1)
+            np.take(values, index, out=run[:-1], mode="clip")
+            out.append(np.where(edge[1:] > edge[:-1], np.add.reduceat(run, edge[:-1]), 0))
+        return np.concatenate(out)
 
     def down(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n)
-        for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True):
-            out += np.bincount(self.index[self.edge[a] : self.edge[b]], np.repeat(values[a:b], np.diff(self.edge[a : b + 1])), self.n)
+        out, at = np.zeros(self.n), 0
+        for edge, index in self.blocks:
+            to = at + len(edge) - 1
+            out += np.bincount(index, np.repeat(values[at:to], np.diff(edge)), self.n)
+            at = to
         return out
 
 
@@ -234,27 +250,42 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
     (toxic + 1) / (rows + 3), so nothing is rejected where nothing was learnt.
     """
     rows = training_rows(docs, labels, label, limit)
-    got = rows.mapInArrow(released(_rows), "id long, y int, words array<long>").toArrow()
-    y = (got.column("y").to_numpy() > 0).astype(float)
-    if not 0 < y.sum() < len(y):
-        return Model(np.zeros(BUCKETS), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 2))))
-    edge, words = _flat(got.column("words"))
-    # rows by doc_id, those of one doc_id by their words: an order that does not depend on the tasks
-    sums = np.add.reduceat(np.append(words.view(U), U(0)), edge[:-1])
-    sums[edge[1:] == edge[:-1]] = 0
-    y, edge, words = _reordered(y, edge, words, np.lexsort((y, sums, got.column("id").to_numpy())))
+    toxic, clean = rows.agg(F.sum((F.col("y") > 0).cast("long")), F.sum((F.col("y") <= 0).cast("long"))).first()
+    if not toxic or not clean:
+        toxic, clean = toxic or 0, clean or 0
+        return Model(np.zeros(BUCKETS), float(np.log((toxic + 1) / (clean + 2))))
+    n = partitions(docs.sparkSession)
+    # partitions come in order and so do their rows, however many tasks made them
     known = rows.mapInArrow(released(_words), "key long, word binary").groupBy("key").agg(F.first("word").alias("word"))
-    table = known.repartition(partitions(docs.sparkSession), "key").mapInArrow(released(_slots), "key long, slots array<int>").toArrow()
-    slot_edge, slots = _flat(table.column("slots"))
-    keys = table.column("key").to_numpy()
-    order = np.argsort(keys)
-    _, slot_edge, slots = _reordered(keys, slot_edge, slots, order)
-    of_docs = Lists(edge, np.searchsorted(keys[order], words).astype(np.int32), len(keys))
+    known = known.repartition(n, "key").sortWithinPartitions("key").mapInArrow(released(_slots), "a0 binary, a1 binary, a2 binary")
+    keys, lists = [], []
+    for key, sizes, slots in _unpacked(known, np.int64, np.int64, np.int32):
+        keys.append(key)
+        lists.append((sizes, slots))
+    keys = np.concatenate(keys)
     # frequent slots stand together, which keeps them in the processor's cache
-    name = np.argsort(-np.bincount(slots, minlength=BUCKETS), kind="stable")
+    times = np.zeros(BUCKETS, np.int64)
+    for _, slots in lists:
+        times += np.bincount(slots, minlength=BUCKETS)
+    name = np.argsort(-times, kind="stable")
     place = np.empty(BUCKETS, np.int32)
     place[name] = np.arange(BUCKETS)
-    of_words = Lists(slot_edge, place[slots], BUCKETS)
+    of_words = Lists([(sizes, place[slots]) for sizes, slots in _drained(lists)], BUCKETS)
+    order = np.argsort(keys)
+    keys = keys[order]
+    ids, labels_, sizes, sums, words = [], [], [], [], []
+    for id_, y, size, key in _unpacked(rows.mapInArrow(released(_rows), "a0 binary, a1 binary, a2 binary, a3 binary"), np.int64, np.int64, np.int64, np.int64):
+        ids.append(id_)
+        labels_.append(y)
+        sizes.append(size)
+        sums.append(np.diff(np.concatenate([[0], np.cumsum(key)])[np.concatenate([[0], np.cumsum(size)])]))
+        words.append(order[np.searchsorted(keys, key)].astype(np.int32))
+    ids, labels_, sizes, sums, words = (np.concatenate(x) for x in (ids, labels_, sizes, sums, words))
+    # rows by doc_id, those of one doc_id by label and words
+    rank = np.lexsort((sums, labels_, ids))
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    of_docs = Lists.of(sizes[rank], np.concatenate([words[edge[i] : edge[i + 1]] for i in rank.tolist()]), len(keys))
+    y = (labels_[rank] > 0).astype(float)
     toxic, all_ = (of_words.down(of_docs.down(x)) for x in (y, np.ones(len(y))))
     p, q = toxic + SMOOTHING, all_ - toxic + SMOOTHING
     ratio = np.where(all_ > 0, np.log(p / p.sum()) - np.log(q / q.sum()), 0)
@@ -264,18 +295,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
     return Model(weights, b)
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges and items of a column of lists."""
-    lists = column.combine_chunks()
-    edge = lists.offsets.to_numpy().astype(np.int64)
-    return edge - edge[0], lists.flatten().to_numpy(zero_copy_only=False)
-
-
-def _reordered(values: np.ndarray, edge: np.ndarray, items: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values and lists in another order."""
-    size = np.diff(edge)[order]
-    to = np.concatenate([[0], np.cumsum(size)])
-    return values[order], to, items[np.arange(to[-1]) + np.repeat(edge[:-1][order] - to[:-1], size)]
+def _drained(items: list) -> Iterator:
+    """The items in order, each let go of once it has been passed on."""
+    items.reverse()
+    while items:
+        yield items.pop()
 
 
 def _scores(model):
