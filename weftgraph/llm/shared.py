@@ -70,14 +70,19 @@ def fresh(columns: Iterable[str], *names: str) -> list[str]:
     return [lead + n for n in names]
 
 
+def trim() -> None:
+    """Give this process's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if found := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        found(0)
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the Python worker, which waits for other tasks, gives its free memory back to the system."""
+    """``run``, after which the Python worker, which stays for other tasks, is trimmed."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        trim()
 
     return wrapped
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.decontamination import lowered
 from weftgraph.llm.labelled import TRAIN_ROWS, held_out, training_rows
-from weftgraph.llm.shared import partitions, released
+from weftgraph.llm.shared import partitions, released, trim
 from weftgraph.llm.words import ODD, U, Slots, buffers, chunks, mix64, named, spans
 
 LENGTHS = (2, 3, 4, 5, 6)
@@ -111,7 +111,7 @@ def _packed(*arrays: np.ndarray) -> pa.RecordBatch:
 
 def _unpacked(df: DataFrame, *kinds: type) -> Iterator[list[np.ndarray]]:
     for row in df.toLocalIterator(prefetchPartitions=True):
-        yield [np.frombuffer(raw, kind) for raw, kind in zip(row, kinds, strict=True)]
+        yield [np.frombuffer(raw, kind).copy() for raw, kind in zip(row, kinds, strict=True)]
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,52 +254,56 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
     if not toxic or not clean:
         toxic, clean = toxic or 0, clean or 0
         return Model(np.zeros(BUCKETS), float(np.log((toxic + 1) / (clean + 2))))
-    n = partitions(docs.sparkSession)
-    # partitions come in order and so do their rows, however many tasks made them
+    keys, of_words, name = _word_lists(rows, partitions(docs.sparkSession))
+    y, of_docs = _row_lists(rows, keys)
+    trim()
+    toxic, all_ = (of_words.down(of_docs.down(x)) for x in (y, np.ones(len(y))))
+    p, q = toxic + SMOOTHING, all_ - toxic + SMOOTHING
+    ratio = np.where(all_ > 0, np.log(p / p.sum()) - np.log(q / q.sum()), 0)
+    w, b = logistic(y, of_docs, of_words, ratio)
+    weights = np.empty(BUCKETS)
+    weights[name] = w * ratio
+    del of_words, of_docs
+    trim()
+    return Model(weights, b)
+
+
+def _word_lists(rows: DataFrame, n: int) -> tuple[np.ndarray, Lists, np.ndarray]:
+    """Keys of all distinct words, their slots, and the slot that stands at each place of the lists."""
     known = rows.mapInArrow(released(_words), "key long, word binary").groupBy("key").agg(F.first("word").alias("word"))
+    # partitions come in order and so do their rows, however many tasks made them
     known = known.repartition(n, "key").sortWithinPartitions("key").mapInArrow(released(_slots), "a0 binary, a1 binary, a2 binary")
     keys, lists = [], []
+    times = np.zeros(BUCKETS, np.int64)
     for key, sizes, slots in _unpacked(known, np.int64, np.int64, np.int32):
         keys.append(key)
         lists.append((sizes, slots))
-    keys = np.concatenate(keys)
-    # frequent slots stand together, which keeps them in the processor's cache
-    times = np.zeros(BUCKETS, np.int64)
-    for _, slots in lists:
         times += np.bincount(slots, minlength=BUCKETS)
+    # frequent slots stand together, which keeps them in the processor's cache
     name = np.argsort(-times, kind="stable")
     place = np.empty(BUCKETS, np.int32)
     place[name] = np.arange(BUCKETS)
-    of_words = Lists([(sizes, place[slots]) for sizes, slots in _drained(lists)], BUCKETS)
+    for _, slots in lists:
+        slots[:] = place[slots]
+    return np.concatenate(keys), Lists(lists, BUCKETS), name
+
+
+def _row_lists(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, Lists]:
+    """Labels and words (places in ``keys``) of all rows, by doc_id, those of one doc_id by label and words."""
     order = np.argsort(keys)
     keys = keys[order]
-    ids, labels_, sizes, sums, words = [], [], [], [], []
-    for id_, y, size, key in _unpacked(rows.mapInArrow(released(_rows), "a0 binary, a1 binary, a2 binary, a3 binary"), np.int64, np.int64, np.int64, np.int64):
+    ids, y, sizes, sums, words = [], [], [], [], []
+    for id_, label, size, key in _unpacked(rows.mapInArrow(released(_rows), "a0 binary, a1 binary, a2 binary, a3 binary"), np.int64, np.int64, np.int64, np.int64):
         ids.append(id_)
-        labels_.append(y)
+        y.append(label)
         sizes.append(size)
         sums.append(np.diff(np.concatenate([[0], np.cumsum(key)])[np.concatenate([[0], np.cumsum(size)])]))
         words.append(order[np.searchsorted(keys, key)].astype(np.int32))
-    ids, labels_, sizes, sums, words = (np.concatenate(x) for x in (ids, labels_, sizes, sums, words))
-    # rows by doc_id, those of one doc_id by label and words
-    rank = np.lexsort((sums, labels_, ids))
+    ids, y, sizes, sums, words = (np.concatenate(x) for x in (ids, y, sizes, sums, words))
+    rank = np.lexsort((sums, y, ids))
     edge = np.concatenate([[0], np.cumsum(sizes)])
-    of_docs = Lists.of(sizes[rank], np.concatenate([words[edge[i] : edge[i + 1]] for i in rank.tolist()]), len(keys))
-    y = (labels_[rank] > 0).astype(float)
-    toxic, all_ = (of_words.down(of_docs.down(x)) for x in (y, np.ones(len(y))))
-    p, q = toxic + SMOOTHING, all_ - toxic + SMOOTHING
-    ratio = np.where(all_ > 0, np.log(p / p.sum()) - np.log(q / q.sum()), 0)
-    w, b = logistic(y, of_docs, of_words, ratio)
-    weights = np.empty(BUCKETS)
-    weights[name] = w * ratio
-    return Model(weights, b)
-
-
-def _drained(items: list) -> Iterator:
-    """The items in order, each let go of once it has been passed on."""
-    items.reverse()
-    while items:
-        yield items.pop()
+    words = np.concatenate([words[edge[i] : edge[i + 1]] for i in rank.tolist()])
+    return (y[rank] > 0).astype(float), Lists.of(sizes[rank], words, len(keys))
 
 
 def _scores(model):
