@@ -34,8 +34,8 @@ STEPS, TOLERANCE = 60, 1e-5
 REJECT = 0.5
 #: Slots of a task's table of words with known scores; it starts anew when half full.
 KNOWN = 1 << 20
-#: Entries of words' slot lists that the fit goes through at a time.
-BLOCK = 1 << 21
+#: Rows that the fit goes through at a time.
+BLOCK_ROWS = 1000
 
 
 @dataclass
@@ -109,9 +109,8 @@ def _packed(*arrays: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in arrays], names=[f"a{i}" for i in range(len(arrays))])
 
 
-def _unpacked(df: DataFrame, *kinds: type) -> Iterator[list[np.ndarray]]:
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        yield [np.frombuffer(raw, kind).copy() for raw, kind in zip(row, kinds, strict=True)]
+def _unpacked(df: DataFrame) -> Iterator[list[bytes]]:
+    return (list(row) for row in df.toLocalIterator())
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,45 +127,59 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys, and for each run of 2 ** 16 slots how many each word has there, and which."""
     for batch in chunks(batches, "word", 1 << 18):
         at, slot = ngrams(batch.column("word").to_pylist())
-        yield _packed(batch.column("key").to_numpy(), np.bincount(at, minlength=batch.num_rows), slot.astype(np.int32))
+        run = slot >> 16
+        arrays = [batch.column("key").to_numpy()]
+        for k in range(BUCKETS >> 16):
+            mine = run == k
+            arrays += [_small(np.bincount(at[mine], minlength=batch.num_rows)), (slot[mine] & 0xFFFF).astype(np.uint16)]
+        yield _packed(*arrays)
+
+
+def _small(sizes: np.ndarray) -> np.ndarray:
+    return sizes.astype(np.uint8 if sizes.max(initial=0) < 256 else np.uint32)
 
 
 class Lists:
-    """Sums over lists of indices: ``up`` adds up each list's values, ``down`` spreads a value to each list's indices."""
+    """Sums over lists of indices: ``up`` adds up each list's values, ``down`` spreads a value to each list's indices.
+
+    A block holds a run of lists as parts, each with a first index, the lists' sizes, and their indices from
+    the first one on.  Parts keep indices in 16 bits and their values in the processor's cache.
+    """
 
-    def __init__(self, blocks: list[tuple[np.ndarray, np.ndarray]], n: int):
-        """Each block holds the sizes of its lists and their indices, below ``n``."""
-        self.blocks = [(np.concatenate([[0], np.cumsum(sizes)]), index) for sizes, index in blocks]
-        self.n = n
+    def __init__(self, n: int):
+        self.n, self.held = n, 0
+        self.blocks: list[tuple[int, int, list[tuple[int, np.ndarray, np.ndarray]]]] = []
 
-    @classmethod
-    def of(cls, sizes: np.ndarray, index: np.ndarray, n: int) -> Lists:
-        edge = np.concatenate([[0], np.cumsum(sizes)])
-        cuts = np.unique(np.append(np.searchsorted(edge, np.arange(0, edge[-1] + BLOCK, BLOCK), "left"), len(sizes)))
-        cuts = cuts[cuts <= len(sizes)].tolist()
-        return cls([(sizes[a:b], index[edge[a] : edge[b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], n)
+    def add(self, n_lists: int, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        self.blocks.append((self.held, self.held + n_lists, parts))
+        self.held += n_lists
 
     def up(self, values: np.ndarray) -> np.ndarray:
-        out = [np.zeros(0)]
-        for edge, index in self.blocks:
-            # one more item, as an empty list at the end has no place to begin at
-            run = np.zeros(len(index) + 1)
-            np.take(values, index, out=run[:-1], mode="clip")
-            out.append(np.where(edge[1:] > edge[:-1], np.add.reduceat(run, edge[:-1]), 0))
-        return np.concatenate(out)
+        out = np.zeros(self.held)
+        for a, b, parts in self.blocks:
+            for first, sizes, index in parts:
+                ends = np.cumsum(sizes, dtype=np.int64)
+                # one more item, as an empty list at the end has no place to begin at
+                run = np.zeros(len(index) + 1)
+                np.take(values[first:], index, out=run[:-1], mode="clip")
+                sums = np.add.reduceat(run, ends - sizes)
+                sums[sizes == 0] = 0
+                out[a:b] += sums
+        return out
 
     def down(self, values: np.ndarray) -> np.ndarray:
-        out, at = np.zeros(self.n), 0
-        for edge, index in self.blocks:
-            to = at + len(edge) - 1
-            out += np.bincount(index, np.repeat(values[at:to], np.diff(edge)), self.n)
-            at = to
+        out = np.zeros(self.n)
+        for a, b, parts in self.blocks:
+            for first, sizes, index in parts:
+                found = np.bincount(index, np.repeat(values[a:b], sizes))
+                out[first : first + len(found)] += found
         return out
 
 
-def logistic(y: np.ndarray, docs: Lists, words: Lists, scale: np.ndarray, penalty: float = PENALTY, steps: int = STEPS, memory: int = 6) -> tuple[np.ndarray, float]:
+def logistic(y: np.ndarray, docs: Lists, words: Lists, scale: np.ndarray, penalty: float = PENALTY, steps: int = STEPS, memory: int = 5) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-regularised logistic regression on the scaled sums of the words' lists, by limited-memory BFGS."""
     n = len(scale)
     theta = np.zeros(n + 1)
@@ -254,38 +267,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
     if not toxic or not clean:
         toxic, clean = toxic or 0, clean or 0
         return Model(np.zeros(BUCKETS), float(np.log((toxic + 1) / (clean + 2))))
-    keys, of_words, name = _word_lists(rows, partitions(docs.sparkSession))
+    keys, of_words = _word_lists(rows, partitions(docs.sparkSession))
     y, of_docs = _row_lists(rows, keys)
+    del keys
     trim()
     toxic, all_ = (of_words.down(of_docs.down(x)) for x in (y, np.ones(len(y))))
     p, q = toxic + SMOOTHING, all_ - toxic + SMOOTHING
     ratio = np.where(all_ > 0, np.log(p / p.sum()) - np.log(q / q.sum()), 0)
     w, b = logistic(y, of_docs, of_words, ratio)
-    weights = np.empty(BUCKETS)
-    weights[name] = w * ratio
     del of_words, of_docs
     trim()
-    return Model(weights, b)
+    return Model(w * ratio, b)
 
 
-def _word_lists(rows: DataFrame, n: int) -> tuple[np.ndarray, Lists, np.ndarray]:
-    """Keys of all distinct words, their slots, and the slot that stands at each place of the lists."""
+def _word_lists(rows: DataFrame, n: int) -> tuple[np.ndarray, Lists]:
+    """Keys of all distinct words, and their slots."""
     known = rows.mapInArrow(released(_words), "key long, word binary").groupBy("key").agg(F.first("word").alias("word"))
+    runs = BUCKETS >> 16
     # partitions come in order and so do their rows, however many tasks made them
-    known = known.repartition(n, "key").sortWithinPartitions("key").mapInArrow(released(_slots), "a0 binary, a1 binary, a2 binary")
-    keys, lists = [], []
-    times = np.zeros(BUCKETS, np.int64)
-    for key, sizes, slots in _unpacked(known, np.int64, np.int64, np.int32):
+    known = known.repartition(n, "key").sortWithinPartitions("key").mapInArrow(released(_slots), ", ".join(f"a{i} binary" for i in range(2 * runs + 1)))
+    keys, lists = [], Lists(BUCKETS)
+    for raw in _unpacked(known):
+        key = np.frombuffer(raw[0], np.int64)
         keys.append(key)
-        lists.append((sizes, slots))
-        times += np.bincount(slots, minlength=BUCKETS)
-    # frequent slots stand together, which keeps them in the processor's cache
-    name = np.argsort(-times, kind="stable")
-    place = np.empty(BUCKETS, np.int32)
-    place[name] = np.arange(BUCKETS)
-    for _, slots in lists:
-        slots[:] = place[slots]
-    return np.concatenate(keys), Lists(lists, BUCKETS), name
+        sizes = [np.frombuffer(x, np.uint8 if len(x) == len(key) else np.uint32) for x in raw[1::2]]
+        lists.add(len(key), [(k << 16, x, np.frombuffer(y, np.uint16)) for k, x, y in zip(range(runs), sizes, raw[2::2], strict=True)])
+    return np.concatenate(keys), lists
 
 
 def _row_lists(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, Lists]:
@@ -293,7 +300,8 @@ def _row_lists(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, Lists]:
     order = np.argsort(keys)
     keys = keys[order]
     ids, y, sizes, sums, words = [], [], [], [], []
-    for id_, label, size, key in _unpacked(rows.mapInArrow(released(_rows), "a0 binary, a1 binary, a2 binary, a3 binary"), np.int64, np.int64, np.int64, np.int64):
+    for raw in _unpacked(rows.mapInArrow(released(_rows), "a0 binary, a1 binary, a2 binary, a3 binary")):
+        id_, label, size, key = (np.frombuffer(x, np.int64) for x in raw)
         ids.append(id_)
         y.append(label)
         sizes.append(size)
@@ -302,8 +310,11 @@ def _row_lists(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, Lists]:
     ids, y, sizes, sums, words = (np.concatenate(x) for x in (ids, y, sizes, sums, words))
     rank = np.lexsort((sums, y, ids))
     edge = np.concatenate([[0], np.cumsum(sizes)])
-    words = np.concatenate([words[edge[i] : edge[i + 1]] for i in rank.tolist()])
-    return (y[rank] > 0).astype(float), Lists.of(sizes[rank], words, len(keys))
+    lists = Lists(len(keys))
+    for a in range(0, len(rank), BLOCK_ROWS):
+        some = rank[a : a + BLOCK_ROWS]
+        lists.add(len(some), [(0, sizes[some], np.concatenate([words[edge[i] : edge[i + 1]] for i in some.tolist()]))])
+    return (y[rank] > 0).astype(float), lists
 
 
 def _scores(model):
