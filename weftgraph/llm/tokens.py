@@ -209,7 +209,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, terminals: int) -> tuple[np.nd
 
     Symbols from ``terminals`` on are nonterminals, rule k of them ``terminals + k``.
     """
-    seq = ids
+    seq = ids.copy()
     last = np.zeros(len(seq), bool)
     last[np.cumsum(counts) - 1] = True
     rules: list[np.ndarray] = []

@@ -61,8 +61,8 @@ class Words:
         order = np.argsort(pair)
         edge = np.ones(len(pair), bool)
         edge[1:] = pair[order[1:]] != pair[order[:-1]]
-        # in the texts' order, so that sums do not depend on the batch
-        some = np.sort(order[edge])
+        # each pair's first place, in the texts' order, so that sums do not depend on the batch
+        some = np.sort(np.minimum.reduceat(order, np.flatnonzero(edge))) if len(order) else order
         _, first, word = np.unique(keys[some], return_index=True, return_inverse=True)
         first = some[first]
         return cls(low, doc[some], word, starts[first], ends[first], keys[first], tags[first])
