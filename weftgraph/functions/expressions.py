@@ -260,8 +260,16 @@ def aggregates_in(e: Expr) -> list[Expr]:
     return [x for a in e.args if isinstance(a, Expr) for x in aggregates_in(a)]
 
 
+def _total(number: Column, distinct: bool) -> Column:
+    """Sum of doubles.  Where all are whole millionths below 10 ** 22 it runs on decimals and does not depend on row order."""
+    exact = number.try_cast("decimal(28,6)")
+    fits = F.min(F.when(number.isNotNull(), F.coalesce(exact.cast("double") == number, F.lit(False))))
+    add = F.sum_distinct if distinct else F.sum
+    return F.when(fits, add(exact).cast("double")).otherwise(add(number))
+
+
 def aggregate(e: Expr, scope: Scope) -> tuple[Column, str]:
-    """Aggregate column and type of its result.  Sums run on decimals, so they don't depend on row order."""
+    """Aggregate column and type of its result."""
     if e.op == "count":
         if not e.args:
             if e.distinct:
@@ -271,13 +279,11 @@ def aggregate(e: Expr, scope: Scope) -> tuple[Column, str]:
         c = scope.value(e.args[0]).term
         return (F.count_distinct(c) if e.distinct else F.count(c)), "int"
     a = scope.value(e.args[0])
-    exact = a.number.cast("decimal(28,6)")
-    if e.op == "sum":
-        return F.coalesce(F.sum_distinct(exact) if e.distinct else F.sum(exact), F.lit(0)).cast("double"), "double"
-    if e.op == "avg":
-        if e.distinct:
-            return F.sum_distinct(exact).cast("double") / F.count_distinct(exact), "double"
-        return F.sum(exact).cast("double") / F.count(exact), "double"
+    if e.op in ("sum", "avg"):
+        total = _total(a.number, e.distinct)
+        if e.op == "sum":
+            return F.coalesce(total, F.lit(0.0)), "double"
+        return total / (F.count_distinct(a.number) if e.distinct else F.count(a.number)), "double"
     if e.op in ("min", "max"):
         pick = F.min if e.op == "min" else F.max
         number = pick(a.number)

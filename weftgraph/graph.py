@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -102,7 +103,10 @@ class Graph:
     def load(cls, spark: SparkSession, path: str) -> Graph:
         """A saved graph.  Its predicates are read from the folder names, not from the data."""
         rows = spark.read.schema("s string, o string, o_is_literal boolean, p string").parquet(path)
-        names = frozenset(r.p for r in rows.select("p").distinct().collect())
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f.getPath().getName() for f in fs.listStatus(folder) if f.isDirectory()]
+        names = frozenset(unquote(x[2:]) for x in found if x.startswith("p="))
         return cls(spark, stored=rows.select("s", "p", "o"), names=names)
 
 

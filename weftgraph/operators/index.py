@@ -29,6 +29,21 @@ def index(triples: DataFrame, name: str) -> DataFrame:
     return out.withColumn("size", F.size("list"))
 
 
+def index_parts(triples: DataFrame, name: str, size: int = 100_000) -> DataFrame:
+    """As ``index``, but a key with more than ``size`` listed values has several rows, of about ``size`` values each, numbered by ``part``.
+
+    Values are dealt to a key's parts by hash, so no task gathers the list of a hub or of a whole predicate.
+    """
+    keys, values = INDEXES[name]
+    value = F.col(values[0]) if len(values) == 1 else F.struct(*values)
+    rows = triples.select(*keys, value.alias("value")).distinct()
+    hot = rows.groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts")).where("parts > 1")
+    same = [F.col(k) == F.col(f"{k}_") for k in keys]
+    part = F.coalesce(F.pmod(F.xxhash64("value"), F.col("parts")).cast("int"), F.lit(0))
+    out = rows.join(hot, same, "left").select(*keys, part.alias("part"), "value")
+    return out.groupBy(*keys, "part").agg(F.sort_array(F.collect_list("value")).alias("list")).withColumn("size", F.size("list"))
+
+
 def lookup(triples: DataFrame, name: str, *key: str) -> DataFrame:
     """The list of one key as rows in ascending order; empty on a miss."""
     keys, values = INDEXES[name]

@@ -23,7 +23,7 @@ from weftgraph.plans.stats import Stats
 from weftgraph.scratch import materialised
 from weftgraph.sparql.ast import Ask, Bind, Construct, Expr, Filter, Group, Minus, Optional_, Pattern, Select, Union, Values, variables
 from weftgraph.sparql.parser import SparqlError, parse
-from weftgraph.terms import TERM
+from weftgraph.terms import TERM, Kind
 
 
 class Compiler:
@@ -120,10 +120,10 @@ class Compiler:
                 scan.vars |= here
         return out
 
-    def relation(self, scan: Scan) -> Rel:
+    def relation(self, scan: Scan, known: dict[str, Kind] | None = None) -> Rel:
         p = scan.patterns[0]
         if is_var(p.p):
-            return self.scan_any(p)
+            return self.scan_any(p, known=known)
         source = self.graph.source_of(p.p)
         return self.scan_stored(p) if source is None else self.scan_table(source, scan.patterns)
 
@@ -174,25 +174,39 @@ class Compiler:
             return self.nothing(sorted({t for t in (p.s, p.o) if is_var(t)}))
         return self._bound(self.graph.predicate(p.p), [("s", p.s), ("o", p.o)])
 
-    def scan_any(self, p: Pattern, without: list[str] | None = None) -> Rel:
-        """A predicate variable: every predicate whose ends can be the pattern's constants."""
+    def scan_any(self, p: Pattern, without: list[str] | None = None, known: dict[str, Kind] | None = None) -> Rel:
+        """A predicate variable: every predicate whose ends can be the pattern's constants, or of the kinds that other patterns bind.
+
+        Where a table's chosen attributes are all of one kind, ends stay plain values, so joins run on them.
+        """
+        known = known or {}
+        may_be = lambda kind, t: not is_var(t) or t not in known or known[t].name == kind.name
         ends = [("s", p.s), ("p", p.p), ("o", p.o)]
         parts = []
         for source in self.graph.sources:
+            if not may_be(source.kind, p.s):
+                continue
+            held = [n for n, a in source.attributes.items() if n not in (without or ()) and may_be(a.kind, p.o)]
+            if not held:
+                continue
             df = source.frame()
             if not is_var(p.s):
                 condition = source.kind.equals(source.key(), p.s)
                 if condition is None:
                     continue
                 df = df.where(condition)
-            held = [n for n in source.attributes if n not in (without or ())]
             if not is_var(p.o):
                 # the disjunction can be pushed to the scan, the exact test follows on the terms
                 tests = {n: source.attributes[n].kind.equals(source.attributes[n].value(), p.o) for n in held}
                 held = [n for n in held if tests[n] is not None]
                 if held:
                     df = df.where(reduce(lambda a, b: a | b, [tests[n] for n in held]))
-            if held:
+            if not held:
+                continue
+            kinds = {source.attributes[n].kind.name: source.attributes[n].kind for n in held}
+            if len(kinds) == 1 and is_var(p.o) and len({p.s, p.p, p.o}) == 3:
+                parts.append(self._plain_ends(source, held, df, p, next(iter(kinds.values()))))
+            else:
                 parts.append(self._bound(Graph.unpivoted(source, held, df), ends))
         if self.graph.stored is not None:
             rows = self.graph.stored
@@ -201,6 +215,24 @@ class Compiler:
         names = sorted({t for t in (p.s, p.p, p.o) if is_var(t)})
         return reduce(union, parts) if parts else self.nothing(names)
 
+    def _plain_ends(self, source: Source, held: list[str], df: DataFrame, p: Pattern, kind: Kind) -> Rel:
+        pairs = F.array(*[F.struct(F.lit(n).alias("p"), source.attributes[n].value().alias("o")) for n in held])
+        df = df.select(source.key().alias("s"), F.explode(pairs).alias("t")).where("t.o is not null")
+        kinds = {p.s: source.kind, p.p: TERM, p.o: kind}
+        columns = {p.s: F.col("s"), p.p: F.col("t.p"), p.o: F.col("t.o")}
+        kinds = {v: k for v, k in kinds.items() if is_var(v)}
+        return Rel(df.select(*[columns[v].alias(column_name(v)) for v in kinds]), kinds)
+
+    def kinds(self, scans: list[Scan]) -> dict[str, Kind]:
+        """Kinds of the variables that patterns over relational tables bind."""
+        out: dict[str, Kind] = {}
+        for p in (p for scan in scans for p in scan.patterns if not is_var(p.p)):
+            if (source := self.graph.source_of(p.p)) is not None:
+                for t, kind in ((p.s, source.kind), (p.o, source.attributes[p.p].kind)):
+                    if is_var(t):
+                        out.setdefault(t, kind)
+        return out
+
     def different(self, rel: Rel, a: str, b: str) -> Rel:
         x, y = rel.kinds[a], rel.kinds[b]
         if x.name == y.name:
@@ -216,7 +248,9 @@ class Compiler:
         nodes = [v for v in nodes if v not in predicates]
         out: Rel | None = None
         done: set[str] = set()
-        for part in [*map(self.relation, order(self.scans(patterns), self.stats)), *rels]:
+        scans = self.scans(patterns)
+        known = self.kinds(scans)
+        for part in [*(self.relation(scan, known) for scan in order(scans, self.stats)), *rels]:
             out = part if out is None else join(out, part)
             if self.match == "iso":
                 new = [v for v in nodes if v in out.kinds and v not in done]

@@ -13,7 +13,7 @@ from weftgraph.operators import update
 from weftgraph.plans.compile import query
 from weftgraph.plans.stats import Stats
 from weftgraph.sources.sinks import EMPTY, result_lines
-from weftgraph.sources.turtle import read_ntriples, read_turtle
+from weftgraph.sources.turtle import ntriples_errors, read_ntriples, read_turtle, turtle_errors
 
 
 class Catalog:
@@ -26,7 +26,7 @@ class Catalog:
         self._stats: Stats | None = None
 
     def path(self, name: str) -> str:
-        if not name or name.startswith(".") or "/" in name:
+        if not name or name.startswith(".") or "/" in name or name.endswith((".old", ".new")):
             raise ValueError(f"not a graph's name: {name!r}")
         return f"{self.root}/{name}"
 
@@ -36,12 +36,19 @@ class Catalog:
 
     def show(self) -> list[str]:
         fs, p = self._fs(self.root)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
-
-    def build(self, name: str, rdf_path: str) -> None:
-        """Read N-Triples (``.nt``) or Turtle and save it as graph ``name``."""
-        read = read_ntriples if rdf_path.rstrip("/").endswith(".nt") else read_turtle
+        found = {s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()} if fs.exists(p) else set()
+        # a swap that was cut short has left the old version beside its place
+        for name in sorted(x.removesuffix(".old") for x in found if x.endswith(".old")):
+            if name not in found:
+                fs.rename(self._fs(f"{self.root}/{name}.old")[1], self._fs(f"{self.root}/{name}")[1])
+                found.add(name)
+        return sorted(x for x in found if not x.endswith((".old", ".new")))
+
+    def build(self, name: str, rdf_path: str) -> DataFrame:
+        """Read N-Triples (``.nt``) or Turtle and save it as graph ``name``; ``path, error`` of what was skipped."""
+        read, errors = (read_ntriples, ntriples_errors) if rdf_path.rstrip("/").endswith(".nt") else (read_turtle, turtle_errors)
         Graph.of_triples(read(self.spark, rdf_path)).save_triples(self.path(name))
+        return errors(self.spark, rdf_path)
 
     def load(self, name: str) -> None:
         if name not in self.show():
@@ -66,13 +73,16 @@ class Catalog:
             self.load(name)
 
     def remove(self, name: str, gone: DataFrame) -> None:
-        """Remove triples: the graph is written beside itself, then swapped in."""
+        """Remove triples: the graph is written beside itself, then swapped in.  One of both versions always stands."""
         path = self.path(name)
         rest = Graph.of_triples(update.remove(Graph.load(self.spark, path).stored, gone), distinct=False)
         rest.save_triples(path + ".new")
         fs, p = self._fs(path)
-        fs.delete(p, True)
+        old = self._fs(path + ".old")[1]
+        fs.delete(old, True)
+        fs.rename(p, old)
         fs.rename(self._fs(path + ".new")[1], p)
+        fs.delete(old, True)
         if name == self.name:
             self.load(name)
 
@@ -85,12 +95,13 @@ class Catalog:
         return self._stats
 
     def query(self, text: str, **options: Any) -> DataFrame:
+        """Rows of a SELECT, planned with the graph's statistics unless ``stats`` says otherwise."""
         if self.graph is None:
             raise ValueError("no graph is loaded")
-        return query(self.graph, text, **options)
+        return query(self.graph, text, **({"stats": self.stats} | options))
 
     def query_batch(self, texts: list[str], threads: int = 8, **options: Any) -> list[list]:
-        """Rows of several queries that run side by side, in the order of ``texts``."""
+        """Rows of several queries that run side by side, in the order of ``texts``; the caller holds all of them."""
         with ThreadPoolExecutor(threads) as pool:
             return list(pool.map(lambda t: self.query(t, **options).collect(), texts))
 

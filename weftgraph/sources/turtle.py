@@ -9,6 +9,7 @@ Stored terms: ``<iri>``, ``<_:blank>``, ``"text"`` and ``"text"@lang``; datatype
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from weftgraph.sparql.parser import RDF, string_of, unescaped
 
 TRIPLES = "s string, p string, o string"
+ERRORS = "path string, error string"
 _SPACE = re.compile(r"(?:\s+|#[^\n]*)*")
 _TOKEN = re.compile(
     r"""(?P<iri><(?:[^<>"{}|^`\\\x00-\x20]|\\.)*>)
@@ -187,31 +189,43 @@ def parse_text(spark: SparkSession, text: str, parser: TurtleParser | None = Non
     return spark.createDataFrame(list((parser or TurtleParser()).parse(text)), TRIPLES)
 
 
-def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["s", "p", "o"]
-    for batch in batches:
-        for path, text in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True):
-            rows: list[tuple[str, str, str]] = []
-            # labels of other files are other nodes
-            for t in TurtleParser(f"{abs(hash_of(path)):x}_").parse(text or ""):
-                rows.append(t)
-                if len(rows) >= 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], names=names)
+def _files(errors: bool):
+    """Triples of whole texts, or with ``errors`` the complaints about them."""
+    names = ["path", "error"] if errors else ["s", "p", "o"]
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                rows: list[tuple] = []
+                # labels of other files are other nodes
+                parser = TurtleParser(f"{zlib.crc32(path.encode()):x}_")
+                for t in parser.parse(text or ""):
+                    if errors:
+                        continue
+                    rows.append(t)
+                    if len(rows) >= 10_000:
+                        yield batch_of(rows)
+                        rows = []
+                rows += [(path, e) for e in parser.errors] if errors else []
+                if rows:
+                    yield batch_of(rows)
 
+    return run
 
-def hash_of(path: str) -> int:
-    import zlib
 
-    return zlib.crc32(path.encode())
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of Turtle files: one task for each file, as Turtle cannot be split."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return files.mapInArrow(_files, TRIPLES)
+    """Triples of Turtle files: one task for each file, as Turtle cannot be split.  ``turtle_errors`` tells what was skipped."""
+    return _texts(spark, path).mapInArrow(_files(False), TRIPLES)
+
+
+def turtle_errors(spark: SparkSession, path: str) -> DataFrame:
+    """``path, error`` of every statement that ``read_turtle`` skips."""
+    return _texts(spark, path).mapInArrow(_files(True), ERRORS)
 
 
 _IRI = r"<[^<>\"{}|^`\x00-\x20]*>"
@@ -221,31 +235,50 @@ LINE = rf"^\s*({_NODE})\s*({_IRI})\s*(?:({_NODE})|({_TEXT})(?:(@[a-zA-Z]+(?:-[a-
 
 
 def _plain(text: Column) -> Column:
-    """A literal or IRI without escapes.  \\u escapes are left to Python's parser and are rare."""
-    marked = F.regexp_replace(text, r"\\\\", "\x01")
-    for code, char in (("t", "\t"), ("n", "\n"), ("r", "\r"), ('"', '"'), ("'", "'"), (">", ">")):
-        marked = F.replace(marked, F.lit("\\" + code), F.lit(char))
-    return F.replace(marked, F.lit("\x01"), F.lit("\\"))
+    """A literal without escapes.  \\u escapes are left to Python's parser and are rare."""
+
+    def simple(part: Column) -> Column:
+        for code, char in (("t", "\t"), ("n", "\n"), ("r", "\r"), ("b", "\b"), ("f", "\f"), ('"', '"'), ("'", "'")):
+            part = F.replace(part, F.lit("\\" + code), F.lit(char))
+        return part
+
+    # an escaped backslash begins no other escape
+    parts = F.transform(F.split(text, r"\\\\", -1), simple)
+    return F.when(text.contains("\\"), F.array_join(parts, "\\")).otherwise(text)
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of N-Triples files, split and parsed by many tasks; lines that don't parse are skipped."""
-    return ntriples(spark.read.text(path))
+    """Triples of N-Triples files, split and parsed by many tasks; ``ntriples_errors`` tells which lines don't parse."""
+    return ntriples(_lines(spark, path))
+
+
+def ntriples_errors(spark: SparkSession, path: str) -> DataFrame:
+    """``path, error`` of every line that ``read_ntriples`` skips."""
+    return corrupt(_lines(spark, path)).select("path", F.concat(F.lit("not a triple: "), F.substring("value", 1, 200)).alias("error"))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", F.input_file_name().alias("path"))
 
 
 def ntriples(lines: DataFrame) -> DataFrame:
-    """Triples of a DataFrame of N-Triples lines in ``value``."""
+    """Triples of a DataFrame of N-Triples lines in ``value``.
+
+    A blank node's label names one node within its ``path``, if there is such a column, else within all lines.
+    """
+    named = F.concat(F.lower(F.hex(F.crc32(F.col("path").cast("binary")))), F.lit("_")) if "path" in lines.columns else F.lit("")
+    lines = lines.select("value", named.alias("label"))
     part = lambda i: F.regexp_extract("value", LINE, i)
-    parts = lines.where(~F.col("value").rlike(r"\\[uU]") & F.col("value").rlike(LINE)).select(*[part(i).alias(n) for i, n in enumerate(("s", "p", "node", "text", "lang"), 1)])
-    node = lambda c: F.when(c.startswith("_:"), F.concat(F.lit("<"), c, F.lit(">"))).otherwise(c)
+    parts = lines.where(~F.col("value").rlike(r"\\[uU]") & F.col("value").rlike(LINE)).select("label", *[part(i).alias(n) for i, n in enumerate(("s", "p", "node", "text", "lang"), 1)])
+    node = lambda c: F.when(c.startswith("_:"), F.concat(F.lit("<_:"), F.col("label"), F.substring(c, F.lit(3), F.length(c)), F.lit(">"))).otherwise(c)
     plain = parts.select(node(F.col("s")).alias("s"), "p", F.when(F.col("node") != "", node(F.col("node"))).otherwise(F.concat(_plain(F.col("text")), F.col("lang"))).alias("o"))
-    coded = lines.where(F.col("value").rlike(r"\\[uU]")).select("value").mapInArrow(_coded, TRIPLES)
+    coded = lines.where(F.col("value").rlike(r"\\[uU]")).mapInArrow(_coded, TRIPLES)
     return plain.unionByName(coded)
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [t for line in batch.column("value").to_pylist() for t in TurtleParser().parse(line)]
+        rows = [t for line, label in zip(batch.column("value").to_pylist(), batch.column("label").to_pylist(), strict=True) for t in TurtleParser(label).parse(line)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], names=["s", "p", "o"])
 
