@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftgraph.graph import Graph
 from weftgraph.operators import dictionary, index, signature, update
 from weftgraph.plans import stats
-from weftgraph.plans.compile import construct, query
+from weftgraph.plans.compile import ask, construct, query
+from weftgraph.scratch import materialised, scratch_path
+from weftgraph.service import Catalog, run_command
 from weftgraph.sources import sinks, turtle
-from weftgraph.sources.tables import tables_graph
+from weftgraph.sources.tables import TABLES, tables_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,17 +189,29 @@ def _construct(spark, d):
 
 # --- indexes, statistics, lists, updates, encodings
 
-#: the graph of regions, nations, customers and suppliers' key columns, as rows
-LINKS = ["<c_nationkey>", "<s_nationkey>", "<n_regionkey>", "<n_name>", "<r_name>"]
-_T = f"""SELECT {_e('customer', 'c_custkey')} AS s, '<c_nationkey>' AS p, {_e('nation', 'c_nationkey')} AS o FROM customer
- UNION ALL SELECT {_e('supplier', 's_suppkey')}, '<s_nationkey>', {_e('nation', 's_nationkey')} FROM supplier
- UNION ALL SELECT {_e('nation', 'n_nationkey')}, '<n_regionkey>', {_e('region', 'n_regionkey')} FROM nation
- UNION ALL SELECT {_e('nation', 'n_nationkey')}, '<n_name>', {_t('n_name')} FROM nation
- UNION ALL SELECT {_e('region', 'r_regionkey')}, '<r_name>', {_t('r_name')} FROM region"""
+def _tables(names: tuple[str, ...], skipped: tuple[str, ...] = ()) -> tuple[list[str], str]:
+    """Predicates of relational tables, and SQL for their distinct triples.  Doubles and times, which SQL spells otherwise, are left to ``skipped``."""
+    predicates, parts = [], []
+    for name in names:
+        kind, key, points, literals = TABLES[name]
+        subject = f"'<{kind.name}/' || {" || '-' || ".join(key)} || '>'"
+        for column, far in points.items():
+            predicates.append(f"<{column}>")
+            parts.append(f"SELECT {subject} AS s, '<{column}>' AS p, {_e(far.name, column)} AS o FROM {name}")
+        for column in literals:
+            if column not in skipped:
+                predicates.append(f"<{column}>")
+                parts.append(f"SELECT {subject} AS s, '<{column}>' AS p, {_t(column)} AS o FROM {name}")
+    return predicates, "SELECT DISTINCT s, p, o FROM (" + " UNION ALL ".join(parts) + ") WHERE s IS NOT NULL AND o IS NOT NULL"
+
+
+#: every table of the graph, without columns of doubles and times
+DOUBLES = ("c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "o_orderdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "value", "ts")
+LINKS, _T = _tables(tuple(TABLES), DOUBLES)
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:
-    return tables_graph(spark, d, ("region", "nation", "customer", "supplier")).triples(LINKS)
+    return tables_graph(spark, d).triples(LINKS).distinct()
 
 
 def _index(name: str) -> None:
@@ -209,7 +224,7 @@ def _index(name: str) -> None:
         return rows.select(*keys, F.array_join(F.transform("list", item), ",").alias("list"), "size")
 
     QUERIES[f"index_{name}"] = run
-    ORACLES[f"index_{name}"] = f"SELECT {', '.join(keys)}, string_agg(v, ',' ORDER BY {'v' if len(values) == 1 else 'p, x'}) AS list, count(*)::INTEGER AS size FROM (SELECT DISTINCT {', '.join(dict.fromkeys([*keys, 'p']))}, {values[-1]} AS x, {value} AS v FROM ({_T})) GROUP BY {', '.join(keys)}"
+    ORACLES[f"index_{name}"] = f"SELECT {', '.join(keys)}, string_agg(v, ',' ORDER BY {'v' if len(values) == 1 else 'p, x'}) AS list, count(*)::INTEGER AS size FROM (SELECT DISTINCT {', '.join(keys if len(values) == 1 else dict.fromkeys([*keys, 'p']))}, {values[-1]} AS x, {value} AS v FROM ({_T})) GROUP BY {', '.join(keys)}"
 
 
 for _name in index.INDEXES:
@@ -231,9 +246,21 @@ def _degree(spark, d):
     return index.degree(links(spark, d))
 
 
-@frame("lookup_op2s", f"SELECT DISTINCT s FROM ({_T}) WHERE o = '<nation/3>' AND p = '<c_nationkey>'")
-def _lookup(spark, d):
-    return index.lookup(links(spark, d), "op2s", "<nation/3>", "<c_nationkey>").select("s")
+for _name, _key in (
+    ("s2o", ("<order/32>",)),
+    ("o2s", ("<customer/7>",)),
+    ("sp2o", ("<order/32>", "<o_custkey>")),
+    ("op2s", ("<nation/3>", "<c_nationkey>")),
+    ("s2po", ("<customer/7>",)),
+    ("o2ps", ("<customer/7>",)),
+    ("p2s", ("<n_name>",)),
+    ("p2o", ("<l_suppkey>",)),
+):
+    _columns = index.INDEXES[_name][0]
+
+    @frame(f"lookup_{_name}", f"SELECT DISTINCT {', '.join(index.INDEXES[_name][1])} FROM ({_T}) WHERE " + " AND ".join(f"{c} = '{k}'" for c, k in zip(_columns, _key, strict=True)))
+    def _lookup(spark, d, name=_name, key=_key):
+        return index.lookup(links(spark, d), name, *key)
 
 
 @frame("exists_triple", "SELECT '<nation/3>' AS s, '<n_regionkey>' AS p, '<region/' || n_regionkey || '>' AS o FROM nation WHERE n_nationkey = 3")
@@ -250,7 +277,7 @@ def _with_predicate(spark, d):
 
 @frame("stats_predicate", f"SELECT p, count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM ({_T}) GROUP BY p")
 def _stats(spark, d):
-    return stats.predicate_stats(tables_graph(spark, d, ("region", "nation", "customer", "supplier")), LINKS)
+    return stats.predicate_stats(Graph.of_triples(links(spark, d), distinct=False))
 
 
 _ENDS = f"(SELECT DISTINCT p, 's' AS role, s AS term FROM ({_T}) UNION SELECT DISTINCT p, 'o', o FROM ({_T}))"
@@ -258,7 +285,7 @@ for _a, _b in ("ss", "oo", "so"):
 
     @frame(f"stats_overlap_{_a}{_b}", f"SELECT a.p AS p1, b.p AS p2, count(*) AS n FROM {_ENDS} a JOIN {_ENDS} b USING (term) WHERE (a.p, a.role) <> (b.p, b.role) AND a.role = '{_a}' AND b.role = '{_b}' GROUP BY ALL")
     def _overlap(spark, d, a=_a, b=_b):
-        rows = stats.overlaps(tables_graph(spark, d, ("region", "nation", "customer", "supplier")), LINKS)
+        rows = stats.overlaps(Graph.of_triples(links(spark, d), distinct=False))
         return rows.where((F.col("role1") == a) & (F.col("role2") == b)).select("p1", "p2", "n")
 
 
@@ -323,17 +350,199 @@ def _ntriples(spark, d):
     return turtle.ntriples(lines)
 
 
+@frame("signature_cover", "SELECT '<customer/' || c_custkey || '>' AS term FROM customer WHERE c_nationkey = 3")
+def _signature(spark, d):
+    """Entities that pass the signature test for an edge to nation 3 and have it: the test may let others pass, but loses none."""
+    rows = links(spark, d)
+    hit = signature.signatures(rows).where(signature.covers(signature.pattern([("<c_nationkey>", True, "<nation/3>")])))
+    return hit.select("term").join(rows.where("p = '<c_nationkey>' and o = '<nation/3>'").select(F.col("s").alias("term")), "term", "left_semi")
+
+
+# --- stored graphs
+
+_STORED = ["<l_orderkey>", "<o_custkey>", "<c_nationkey>", "<l_suppkey>", "<s_nationkey>"]
+
+
+@cache
+def _saved(spark: SparkSession, application: str, d: str) -> str:
+    """The folder of a graph saved by predicate, written once for each application and input."""
+    path = scratch_path(spark, "stored-graph")
+    Graph.of_triples(tables_graph(spark, d).triples(_STORED), distinct=False).save_triples(path)
+    return path
+
+
 @frame("stored_circle", CIRCLE_SQL)
 def _stored(spark, d):
-    rows = tables_graph(spark, d).triples(["<l_orderkey>", "<o_custkey>", "<c_nationkey>", "<l_suppkey>", "<s_nationkey>"])
-    return query(Graph.of_triples(rows, distinct=False), CIRCLE)
+    return query(Graph.load(spark, _saved(spark, spark.sparkContext.applicationId, d)), CIRCLE)
 
 
-@frame("signature_cover", "SELECT c_custkey > 0 AS found, count(*) AS n FROM customer WHERE c_nationkey = 3 GROUP BY 1")
-def _signature(spark, d):
-    """Every customer of nation 3 passes the signature test for an edge to it."""
-    rows = links(spark, d)
-    sig = signature.signatures(rows)
-    hit = sig.where(signature.covers(signature.pattern([("<c_nationkey>", True, "<nation/3>")])))
-    true = rows.where("p = '<c_nationkey>' and o = '<nation/3>'").select(F.col("s").alias("term"))
-    return hit.join(true, "term").groupBy(F.lit(True).alias("found")).agg(F.count(F.lit(1)).alias("n"))
+def _catalog(spark: SparkSession, d: str) -> Catalog:
+    """A catalogue with the graph ``g`` of nations and regions."""
+    catalog = Catalog(spark, scratch_path(spark, "catalogue"))
+    Graph.of_triples(tables_graph(spark, d, ("region", "nation")).triples()).save_triples(catalog.path("g"))
+    catalog.load("g")
+    return catalog
+
+
+_NATIONS = _tables(("region", "nation"))[1]
+
+
+@frame("stored_append", f"SELECT s, p, o FROM ({_NATIONS}) UNION SELECT s, p, o FROM {_SOME}")
+def _append(spark, d):
+    catalog = _catalog(spark, d)
+    update.append(catalog.path("g"), _some(spark))
+    return Graph.load(spark, catalog.path("g")).triples()
+
+
+@frame("stored_remove", f"SELECT s, p, o FROM ({_NATIONS}) EXCEPT SELECT s, p, o FROM {_SOME}")
+def _stored_remove(spark, d):
+    catalog = _catalog(spark, d)
+    catalog.remove("g", _some(spark))
+    return catalog.graph.triples()
+
+
+@frame("catalog_query", f"SELECT {_e('nation', 'n_nationkey')} AS n, {_t('r_name')} AS r FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _catalog_query(spark, d):
+    return _catalog(spark, d).query("SELECT ?n ?r WHERE { ?n <n_regionkey> ?x . ?x <r_name> ?r }")
+
+
+@frame("catalog_commands", "SELECT 'g' AS name")
+def _catalog_show(spark, d):
+    catalog = _catalog(spark, d)
+    return spark.createDataFrame([(x,) for x in run_command(catalog, "show databases").split("\n")], "name string")
+
+
+# --- text formats
+
+TURTLE = """@prefix e: <http://e/> .
+@base <http://b/> .
+PREFIX f: <http://f/>
+e:a e:p "x\\ty" , 'z'@en ; a <T> .
+e:a f:q [ e:r 5 ] , ( "1" true ) .
+this is broken e:x .
+[ e:s e:a ] .
+_:n e:p "5"^^<http://www.w3.org/2001/XMLSchema#integer> ; .   # comment
+e:b e:p \"\"\"long "quoted" \\u00e9\"\"\" .
+"""
+_RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+_TURTLE = f"""(VALUES ('<http://e/a>', '<http://e/p>', '"x' || chr(9) || 'y"'), ('<http://e/a>', '<http://e/p>', '"z"@en'), ('<http://e/a>', '<{_RDF}type>', '<http://b/T>'),
+ ('<_:_1>', '<http://e/r>', '"5"'), ('<http://e/a>', '<http://f/q>', '<_:_1>'), ('<_:_2>', '<{_RDF}first>', '"true"'), ('<_:_2>', '<{_RDF}rest>', '<{_RDF}nil>'),
+ ('<_:_3>', '<{_RDF}first>', '"1"'), ('<_:_3>', '<{_RDF}rest>', '<_:_2>'), ('<http://e/a>', '<http://f/q>', '<_:_3>'), ('<_:_4>', '<http://e/s>', '<http://e/a>'),
+ ('<_:n>', '<http://e/p>', '"5"'), ('<http://e/b>', '<http://e/p>', '"long "quoted" é"')) AS v(s, p, o)"""
+
+
+@frame("turtle_text", f"SELECT s, p, o FROM {_TURTLE}")
+def _turtle(spark, d):
+    return turtle.parse_text(spark, TURTLE)
+
+
+def _written(spark: SparkSession, label: str, **files: str) -> str:
+    """A folder of text files, one for each keyword."""
+    path = scratch_path(spark, label)
+    for name, text in files.items():
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{name}")
+    return path
+
+
+@frame("turtle_files", "SELECT p, count(*) AS triples, count(DISTINCT s) AS subjects FROM (SELECT * FROM (VALUES ('<p>', '1n'), ('<p>', '2n'), ('<q>', '1n'), ('<q>', '2n')) AS v(p, s)) GROUP BY p")
+def _turtle_files(spark, d):
+    """The label of a blank node names another node in another file."""
+    rows = turtle.read_turtle(spark, _written(spark, "turtle", a="_:n <p> 1 ; <q> 2 .", b="_:n <p> 1 ; <q> 2 .") + "/*")
+    return rows.groupBy("p").agg(F.count(F.lit(1)).alias("triples"), F.count_distinct("s").alias("subjects"))
+
+
+@frame("turtle_errors", "SELECT 6 AS line, 1 AS n")
+def _turtle_errors(spark, d):
+    rows = turtle.turtle_errors(spark, _written(spark, "turtle", a=TURTLE) + "/*")
+    return rows.groupBy(F.regexp_extract("error", r"^line (\d+):", 1).cast("int").alias("line")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+LINES = ["<a> <p> <b> .", '<a> <p> "t\\"q\\\\n\\b\\f\x01"@en .  # c', "_:x <p> _:y .", "broken", "# comment", "", '<a> <p> "\\u00e9" .', '<a> <p> "5"^^<int> .']
+
+
+@frame("ntriples_text", """SELECT s, p, o FROM (VALUES ('<a>', '<p>', '<b>'), ('<a>', '<p>', '"t"q\\n' || chr(8) || chr(12) || chr(1) || '"@en'), ('<_:x>', '<p>', '<_:y>'), ('<a>', '<p>', '"é"'), ('<a>', '<p>', '"5"')) AS v(s, p, o)""")
+def _ntriples_text(spark, d):
+    return turtle.ntriples(spark.createDataFrame([(x,) for x in LINES], "value string"))
+
+
+@frame("ntriples_files", "SELECT 2 AS nodes, 1 AS errors")
+def _ntriples_files(spark, d):
+    path = _written(spark, "ntriples", a="_:x <p> <b> .\n_:x <q> <b> .", b="_:x <p> <b> .\nbroken") + "/*"
+    nodes = turtle.read_ntriples(spark, path).agg(F.count_distinct("s").cast("int").alias("nodes"))
+    return nodes.crossJoin(turtle.ntriples_errors(spark, path).agg(F.count(F.lit(1)).cast("int").alias("errors")))
+
+
+# --- terms, lists and statistics
+
+@frame("dictionary_lookup", f"WITH d AS ({_DICT}), w AS (SELECT unnest(['<nation/3>', '<region/0>', '<nowhere>']) AS term) SELECT w.term AS term, coalesce(d.id, -1) AS id, coalesce(d.term, '') AS again FROM w LEFT JOIN d ON d.term = w.term AND d.kind = 'entity'")
+def _dictionary_lookup(spark, d):
+    known = materialised(dictionary.dictionary(links(spark, d)))
+    ids = dictionary.ids_of(known, ["<nation/3>", "<region/0>", "<nowhere>"], "entity")
+    back = dictionary.terms_of(known, [r.id for r in ids.collect()], "entity").select("id", F.col("term").alias("again"))
+    return ids.join(back, "id").select("term", "id", "again")
+
+
+@frame("list_maintenance", f"""SELECT {_e('nation', 'n')} AS o, list_contains(l, 5) AS has, coalesce(list_position(l, 5), 0)::BIGINT - 1 AS place,
+ array_to_string(list_sort(list_distinct(list_append(l, 5))), ',') AS more, array_to_string(list_filter(l, lambda x: x <> 5), ',') AS less, array_to_string(l[1:3], ',') AS first
+ FROM (SELECT c_nationkey AS n, list_sort(list(DISTINCT c_custkey)) AS l FROM customer GROUP BY c_nationkey)""")
+def _list_maintenance(spark, d):
+    rows = tables_graph(spark, d, ("customer",)).predicate("<c_nationkey>").groupBy("o").agg(F.sort_array(F.collect_set(F.regexp_extract("s", r"/(\d+)", 1).cast("long"))).alias("l"))
+    text = lambda c: F.array_join(c, ",")
+    five = F.lit(5).cast("long")
+    return rows.select("o", index.member("l", five).alias("has"), index.position("l", five).alias("place"), text(index.insert("l", five)).alias("more"), text(index.remove("l", five)).alias("less"), text(index.erase_from("l", 3)).alias("first"))
+
+
+@frame("predicate_names", f"SELECT DISTINCT p FROM ({_T})")
+def _predicate_names(spark, d):
+    return sinks.predicate_names(links(spark, d).select(F.concat_ws(" ", "s", "p", "o", F.lit(".")).alias("value")))
+
+
+@frame("planned_circle", CIRCLE_SQL)
+def _planned(spark, d):
+    """The cycle in the order that the graph's statistics suggest."""
+    graph = tables_graph(spark, d)
+    return query(graph, CIRCLE, stats=stats.Stats.of(graph, _STORED))
+
+
+# --- the rest of the language
+
+for _name, _text, _sql in (
+    ("yes", "ASK { ?c <c_nationkey> <nation/3> . ?o <o_custkey> ?c }", "SELECT count(*) > 0 AS found FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3"),
+    ("no", "ASK { ?c <c_nationkey> <nation/99> }", "SELECT false AS found"),
+):
+
+    @frame(f"ext_ask_{_name}", _sql)
+    def _ask(spark, d, text=_text):
+        return spark.createDataFrame([(ask(tables_graph(spark, d), text),)], "found boolean")
+
+
+_PATH = f"WITH o AS (SELECT o_custkey AS c FROM orders WHERE o_orderkey = 1), c AS (SELECT c_nationkey AS n FROM customer JOIN o ON c = c_custkey), n AS (SELECT n_regionkey AS r FROM nation JOIN c ON n = n_nationkey)"
+sparql("ext_path_star", "SELECT ?x WHERE { <order/1> (<o_custkey>|<c_nationkey>|<n_regionkey>)* ?x }", f"{_PATH} SELECT '<order/1>' AS x UNION SELECT {_e('customer', 'c')} FROM o UNION SELECT {_e('nation', 'n')} FROM c UNION SELECT {_e('region', 'r')} FROM n")
+sparql("ext_path_maybe", "SELECT ?x WHERE { <order/1> <o_custkey>? ?x }", f"{_PATH} SELECT '<order/1>' AS x UNION SELECT {_e('customer', 'c')} FROM o")
+sparql("ext_path_plus_end", "SELECT ?x WHERE { ?x (<c_nationkey>|<n_regionkey>)+ <region/2> }", f"SELECT {_e('nation', 'n_nationkey')} AS x FROM nation WHERE n_regionkey = 2 UNION SELECT {_e('customer', 'c_custkey')} FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
+sparql("ext_prefix", "PREFIX n: <nation/> SELECT ?c WHERE { ?c <c_nationkey> n:3 }", f"SELECT {_e('customer', 'c_custkey')} AS c FROM customer WHERE c_nationkey = 3")
+sparql("ext_reduced", "SELECT REDUCED ?n WHERE { ?n <n_regionkey> <region/1> }", f"SELECT {_e('nation', 'n_nationkey')} AS n FROM nation WHERE n_regionkey = 1")
+sparql(
+    "ext_aggregates",
+    "SELECT ?g (AVG(?z) AS ?mean) (MAX(?z) AS ?most) (MIN(?z) AS ?least) (SAMPLE(?g) AS ?one) (SUM(DISTINCT ?z) AS ?parts) WHERE { ?p <p_brand> ?g ; <p_size> ?z } GROUP BY ?g",
+    f"SELECT {_t('p_brand')} AS g, sum(p_size)::DOUBLE / count(*) AS mean, '\"' || max(p_size)::DOUBLE || '\"' AS most, '\"' || min(p_size)::DOUBLE || '\"' AS least, {_t('p_brand')} AS one, sum(DISTINCT p_size)::DOUBLE AS parts FROM part GROUP BY p_brand",
+)
+sparql("ext_small_and_large_sums", "SELECT (SUM(?a) AS ?small) (SUM(?b) AS ?large) (AVG(?a) AS ?mean) WHERE { VALUES (?a ?b) { (\"0.0000004\" \"1e25\") (\"0.0000004\" \"1e25\") } }", "SELECT 0.0000008::DOUBLE AS small, 2e25::DOUBLE AS large, 0.0000004::DOUBLE AS mean")
+sparql(
+    "ext_languages",
+    'SELECT ?n (LANG(STRLANG(?x, "en-GB")) AS ?l) (LANGMATCHES(LANG(STRLANG(?x, "en-GB")), "EN") AS ?m) (STR(STRDT(?x, <http://t>)) AS ?t) (SAMETERM(?n, ?n) AS ?same) (ISBLANK(BNODE()) AS ?b) (ISNUMERIC(?x) AS ?k) (DATATYPE(?x) AS ?d) WHERE { ?n <n_name> ?x }',
+    f"SELECT {_e('nation', 'n_nationkey')} AS n, 'en-GB' AS l, true AS m, n_name AS t, true AS same, true AS b, false AS k, '<http://www.w3.org/2001/XMLSchema#string>' AS d FROM nation",
+)
+sparql(
+    "ext_times",
+    "SELECT ?o (MINUTES(?d) AS ?m) (SECONDS(?d) AS ?s) (TZ(?d) AS ?z) (STRLEN(SHA384(?p)) AS ?h) (STRLEN(SHA512(?p)) AS ?k) (NOW() = NOW() AS ?same) (RAND() < 1 AS ?r) WHERE { ?o <o_orderdate> ?d ; <o_orderpriority> ?p ; <o_custkey> <customer/7> }",
+    f"SELECT {_e('order', 'o_orderkey')} AS o, minute(o_orderdate)::INTEGER AS m, second(o_orderdate)::INTEGER AS s, '' AS z, 96 AS h, 128 AS k, true AS same, true AS r FROM orders WHERE o_custkey = 7",
+)
+sparql("ext_minus_some", 'SELECT ?c WHERE { ?c <c_nationkey> <nation/8> MINUS { ?o <o_custkey> ?c ; <o_orderstatus> "P" } }', f"SELECT {_e('customer', 'c_custkey')} AS c FROM customer WHERE c_nationkey = 8 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL)")
+
+
+@frame("bgp_self_loop", f"SELECT {_e('x', 'n_nationkey')} AS a FROM nation WHERE n_nationkey = n_regionkey")
+def _self_loop(spark, d):
+    rows = tables_graph(spark, d, ("nation",)).predicate("<n_regionkey>")
+    x = lambda c: F.concat(F.lit("<x/"), F.regexp_extract(c, r"/(\d+)", 1), F.lit(">"))
+    return query(Graph.of_triples(rows.select(x("s").alias("s"), F.lit("<to>").alias("p"), x("o").alias("o"))), "SELECT ?a WHERE { ?a <to> ?a }")

@@ -1,17 +1,28 @@
-"""Cutting lineage where a loop would let it grow."""
+"""Folders that driver and executors share, and cutting lineage where a loop would let it grow."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` after a reliable checkpoint in the shared folder (a temporary one on a local master)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share (a temporary one on a local master)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weft-checkpoint-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` after a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
