@@ -34,7 +34,7 @@ BROADCAST_IDS = 1_000_000
 #: A node of more rows, all copies of one text, is joined back to them without being gathered in one task.
 COPIES = 1000
 #: Members compared with one copy of a bucket's centre before it is sent to another task too.
-SALT_ROWS = 512
+SALT_ROWS = 128
 #: Members outside a bucket's main class that one task holds.
 BLOCK = 512
 SECOND = 0xD6E8FEB86659FD93
