@@ -234,7 +234,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = ACCEPT) -> DataFram
     """``doc_id, held_out, score, predicted`` of every row; null text is empty, other columns are ignored.
 
     Repeated rows give repeated results, a score of just ``threshold`` is predicted 1, a null doc_id counts as
-    held out; a single text is held whole, some 40 times its size.
+    held out; a single text is held whole, some 37 times its size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_scores(shared)), "doc_id long, score double")

@@ -399,7 +399,7 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     ``part, seq`` order the shards, ``before`` counts the ids before the shard in its part.  Null text is
     empty and still has its end id.  An empty table has no shard.  Repeated rows each have their ids; other
     columns are ignored.  A task holds one shard's ids (4 bytes each; a longer single text is a shard of its
-    own) and, while it encodes, some 25 times a slice of 2 MB of text.
+    own) and, while it encodes, some 45 times a slice of 2 MB of text, or 12 times a longer single text.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     rows = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())

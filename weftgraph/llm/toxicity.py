@@ -329,7 +329,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = REJECT) -> DataFram
     """``doc_id, held_out, score, predicted`` of every row; null and empty texts score the model's bias.
 
     Repeated rows give repeated results, a score of just ``threshold`` is predicted 1, a null doc_id counts as
-    held out, other columns are ignored; a single text is held whole, some 30 times its size.
+    held out, other columns are ignored; a single text is held whole, some 46 times its size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_scores(shared)), "doc_id long, score double")
