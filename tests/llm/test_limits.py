@@ -73,6 +73,36 @@ def test_no_frequent_pair_is_left(terminals):
     assert (shard.ids(120, 1234, 1300) == 7).all() and len(shard.ids(120, 1234, 1300)) == 66
 
 
+def test_the_table_of_pieces_grows_and_starts_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "FIRST_SLOTS", 1 << 4)
+    monkeypatch.setattr(tokens, "SLOTS", 1 << 9)
+    encode, whole = tokens.Encoder(PATH), Tokenizer.from_file(PATH)
+    pick = np.random.default_rng(1).integers
+    texts = [" ".join(f"{thue_morse(3)[: x % 7]}{'abcdefghij'[x % 10]}{'klmnopqrst'[x // 10 % 10]}{'uvwxyz'[x // 100]}" for x in pick(0, 600, 20)) for _ in range(60)]
+    sizes = []
+    for a in range(0, 60, 2):
+        ids, counts = encode(pa.array(texts[a : a + 2]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [[*whole.encode(t, add_special_tokens=False).ids, tokens.END] for t in texts[a : a + 2]]
+        sizes.append((encode.known.size, encode.known.held))
+        assert encode.known.held <= encode.known.size // 2
+    assert len({size for size, _ in sizes}) > 1 and any(b[1] < a[1] for a, b in zip(sizes, sizes[1:], strict=False))
+
+
+def test_batches_to_python_are_bounded_in_bytes(spark):
+    spark.conf.unset(shared.BATCH_SETTING)
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('x', 10000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    found = [r.n for r in shared.in_arrow(rows, sizes, "n long").collect()]
+    assert sum(found) > 30_000_000 and max(found) < 1.1 * shared.BATCH_BYTES
+    spark.conf.set(shared.BATCH_SETTING, "1m")
+    assert max(r.n for r in shared.in_arrow(rows, sizes, "n long").collect()) < 1.1 * (1 << 20)
+    spark.conf.unset(shared.BATCH_SETTING)
+
+
 def test_a_long_text_is_encoded_in_stretches(monkeypatch):
     monkeypatch.setattr(tokens, "LONG_BYTES", 1000)
     monkeypatch.setattr(tokens, "CHUNK_BYTES", 300)

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.shared import partitions, released
+from weftgraph.llm.shared import in_arrow, partitions
 from weftgraph.llm.words import buffers, chunks
 
 #: role -> opener, closer
@@ -125,7 +125,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     rows = rows.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(released(_parts), PARTS)
+    return in_arrow(rows, _parts, PARTS)
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -176,7 +176,7 @@ def digests(parts: DataFrame) -> DataFrame:
     """
     rows = parts.select("conv_id", "part", "formatted", "loss_starts", "loss_ends")
     rows = rows.repartition(partitions(parts.sparkSession), "conv_id").sortWithinPartitions("conv_id", "part")
-    return rows.mapInArrow(released(_digests), DIGEST)
+    return in_arrow(rows, _digests, DIGEST)
 
 
 def with_probe(turns: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.shared import released, written
+from weftgraph.llm.shared import in_arrow, written
 
 LINKS_A_TASK = 250_000
 
@@ -60,7 +60,7 @@ def components(links: DataFrame) -> DataFrame:
     is a written table, so lost executors cost at most one round.  An empty table has no components.
     """
     tasks = -(-links.count() // LINKS_A_TASK)
-    now = written(links.select("a", "b").repartition(max(1, tasks)).mapInArrow(released(_forest), "a binary, b binary"), "forest")
+    now = written(in_arrow(links.select("a", "b").repartition(max(1, tasks)), _forest, "a binary, b binary"), "forest")
     before = None
     while tasks > 1:
         now = written(_small_star(_large_star(now)), "stars")

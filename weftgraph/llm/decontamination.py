@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.shared import released
+from weftgraph.llm.shared import in_arrow
 from weftgraph.llm.words import U, buffers, chunks, mix64, spans, word_hashes
 
 WINDOW = 13
@@ -251,7 +251,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simila
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
     for index in _indexes(docs, benchmark, window, similarity):
-        some = docs.mapInArrow(released(_hits(index)), HITS)
+        some = in_arrow(docs, _hits(index), HITS)
         out = some if out is None else out.unionByName(some)
     return out if out is not None else docs.sparkSession.createDataFrame([], HITS)
 
@@ -270,5 +270,5 @@ def _clean(index):
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows that overlap with any item; all columns and all other rows stay as they are."""
     for index in _indexes(docs, benchmark, window, similarity):
-        docs = docs.mapInArrow(released(_clean(index)), docs.schema)
+        docs = in_arrow(docs, _clean(index), docs.schema)
     return docs

@@ -29,7 +29,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.shared import released, written
+from weftgraph.llm.shared import in_arrow, written
 from weftgraph.llm.words import chunks
 
 LEAST_PAGES = 3
@@ -446,7 +446,7 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     repeated results; other columns are ignored.
     """
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
-    seen = written(pages.mapInArrow(released(_hashes), HASHES), "page-subtrees")
+    seen = written(in_arrow(pages, _hashes, HASHES), "page-subtrees")
     n_pages = seen.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     rows = lambda *c: seen.select(*c, F.explode("boxes").alias("subtree"), F.lit(True).alias("box")).unionByName(seen.select(*c, F.explode("texts").alias("subtree"), F.lit(False).alias("box")))
     distinct = rows("host", "page").groupBy("host", "page", "subtree").agg(F.max("box").alias("box"))
@@ -461,4 +461,4 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
     if (gone.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST_ENTRIES:
         gone = F.broadcast(gone)
     rows = pages.join(gone, F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u")), "left")
-    return rows.select("page_id", "url", "html", "template").mapInArrow(released(_texts), OUT)
+    return in_arrow(rows.select("page_id", "url", "html", "template"), _texts, OUT)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.components import components
-from weftgraph.llm.shared import fresh, join_spread, partitions, released, written
+from weftgraph.llm.shared import fresh, in_arrow, join_spread, partitions, written
 from weftgraph.llm.words import ODD, U, buffers, chunks, mix64, runs, spans, text_hashes, word_hashes
 
 SHINGLE = 5
@@ -175,7 +175,7 @@ def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     copies = salts.select(F.col("b").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     centres = sets.join(copies, sets.node == copies.centre).select("centre", "salt", F.lit(False).alias("member"), "node", "set")
     rows = centres.unionByName(members).repartition(n, "centre", "salt").sortWithinPartitions("centre", "salt", "member")
-    return rows.mapInArrow(released(_verified(similarity)), "a binary, b binary")
+    return in_arrow(rows, _verified(similarity), "a binary, b binary")
 
 
 def _exact(similarity: float):
@@ -249,7 +249,7 @@ def between_classes(buckets: DataFrame, labels: DataFrame, sets: DataFrame, simi
     past = held.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("other"), "node", "label")
     rows = block.unionByName(past).join(sets, "node")
     rows = rows.repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "other")
-    return rows.select("bucket", "block", "other", "node", "label", "set").mapInArrow(released(_exact(similarity)), "a binary, b binary")
+    return in_arrow(rows.select("bucket", "block", "other", "node", "label", "set"), _exact(similarity), "a binary, b binary")
 
 
 def classes(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -264,7 +264,7 @@ def classes(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARIT
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     texts = docs.withColumn("row", F.xxhash64("text"))
-    all_ = written(texts.mapInArrow(released(_sketches(width, bands, rows)), "doc_id long, row long, node binary, bands array<long>"), "dup-bands")
+    all_ = written(in_arrow(texts, _sketches(width, bands, rows), "doc_id long, row long, node binary, bands array<long>"), "dup-bands")
     known = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     nodes = all_.groupBy("node").agg(F.min(known).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     nodes = written(nodes.withColumn("doc_id", F.col("first.doc_id")), "dup-nodes")
@@ -274,7 +274,7 @@ def classes(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARIT
     near = buckets.select("node", "doc_id").distinct()
     ids = near.select("doc_id").distinct()
     texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs.doc_id.eqNullSafe(ids.doc_id), "left_semi")
-    sets = texts.mapInArrow(released(_sets(width)), "node binary, set binary").dropDuplicates(["node"])
+    sets = in_arrow(texts, _sets(width), "node binary, set binary").dropDuplicates(["node"])
     sets = written(sets.join(near.select("node").distinct(), "node", "left_semi"), "dup-sets")
     buckets = buckets.drop("doc_id")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.labelled import TRAIN_ROWS, held_out, training_rows
-from weftgraph.llm.shared import released
+from weftgraph.llm.shared import in_arrow
 from weftgraph.llm.words import buffers, chunks, spans, word_hashes
 
 BINS = 32
@@ -214,7 +214,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``limit`` labelled rows outside the held-out fold; the driver receives their features only."""
-    rows = training_rows(docs, labels, label, limit).mapInArrow(released(_features), "y int, x array<double>").toArrow()
+    rows = in_arrow(training_rows(docs, labels, label, limit), _features, "y int, x array<double>").toArrow()
     y = (rows.column("y").to_numpy() > 0).astype(float)
     x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), len(NAMES))
     # one order of rows whatever the tasks' order, so that sums come out the same
@@ -237,5 +237,5 @@ def scored(docs: DataFrame, model: Model, threshold: float = ACCEPT) -> DataFram
     held out; a single text is held whole, some 37 times its size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_scores(shared)), "doc_id long, score double")
+    rows = in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _scores(shared), "doc_id long, score double")
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 1_000_000
 #: Parts in which a key that is too frequent for one task is dealt, where its rows can't be broadcast.
 PARTS = 64
+#: Bytes of one Arrow batch sent to a Python worker, and the setting of the session for it.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,6 +89,18 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return wrapped
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``df.mapInArrow`` by batches of at most BATCH_BYTES (or one longer row), trimmed at a task's end.
+
+    Spark's own bound is 64 MB, which executor and worker each hold several times over.  The plan reads the
+    setting when it runs, so the session keeps it; a lower one of the caller's stays.
+    """
+    spark = df.sparkSession
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING)) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(released(run), schema)
+
+
 def join_spread(rows: DataFrame, few: DataFrame, key: str, spread_by: list[str], frequent: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``few`` (one row for each ``key``), where some keys may have a large share of all rows.
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.shared import partitions, released, written
+from weftgraph.llm.shared import in_arrow, partitions, written
 from weftgraph.llm.words import U, buffers, chunks, mix64, runs, spans, window_hashes, word_hashes
 
 WINDOW = 50
@@ -269,8 +269,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     spark = docs.sparkSession
     n, block = partitions(spark), window // 2
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    probes = docs.mapInArrow(released(_probes(block, window, n)), DEALT)
-    hits = probes.repartitionById(n, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_hits(block)), "id long, place int")
+    probes = in_arrow(docs, _probes(block, window, n), DEALT)
+    hits = in_arrow(probes.repartitionById(n, "bucket").sortWithinPartitions("bucket"), _hits(block), "id long, place int")
     hits = written(hits.groupBy("id").agg(F.sort_array(F.collect_set("place")).alias("places")), "repeat-hits")
     few = hits.count() <= BROADCAST_IDS
     ids = F.broadcast(hits.select("id")) if few else hits.select("id")
@@ -280,10 +280,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) ->
     # a hit is in at most so many windows; a bucket for every BUCKET_WINDOWS of them
     bound = near.agg(F.sum(F.size("places"))).first()[0] or 0
     deals = bound * (window - block + 1) // BUCKET_WINDOWS + 1
-    dealt = near.mapInArrow(released(_windows(block, window, deals)), DEALT)
-    late = dealt.repartitionById(deals, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(released(_later(n)), "bucket int, docs binary, keys binary, places binary")
-    late = late.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(released(_gather), "id long, key long, starts binary")
+    dealt = in_arrow(near, _windows(block, window, deals), DEALT)
+    late = in_arrow(dealt.repartitionById(deals, F.col("bucket")).sortWithinPartitions("bucket"), _later(n), "bucket int, docs binary, keys binary, places binary")
+    late = in_arrow(late.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket"), _gather, "id long, key long, starts binary")
     late = late.withColumnRenamed("key", "k")
     found = near.drop("places").join(late, same & (F.col("key") == F.col("k")), "left").select("doc_id", "text", "starts")
     rest = docs.join(ids, same, "left_anti")
-    return found.mapInArrow(released(_cut(window, texts)), OUT).unionByName(rest.mapInArrow(released(_cut(window, texts)), OUT))
+    return in_arrow(found, _cut(window, texts), OUT).unionByName(in_arrow(rest, _cut(window, texts), OUT))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from weftgraph.llm.decontamination import lowered
-from weftgraph.llm.shared import partitions, released, written
+from weftgraph.llm.shared import in_arrow, partitions, written
 from weftgraph.llm.words import CHUNK_BYTES, IS_WORD, ODD as GOLDEN, U, Slots, buffers, chunks, named, spans
 
 END = 2
@@ -32,8 +32,10 @@ SHARD_IDS = 1 << 21
 RULES_A_ROUND, LEAST_COUNT = 2600, 16
 #: A text of more bytes is encoded in stretches.
 LONG_BYTES = 8 << 20
-#: Size of the table of known pieces (a power of two), and of the cache of other words.
-SLOTS = 1 << 22
+#: Bytes of texts that are encoded at a time (a longer single text is a slice of its own).
+SLICE_BYTES = 1 << 20
+#: Sizes of the table of known pieces, at first and at most (powers of two), and of the cache of other words.
+FIRST_SLOTS, SLOTS = 1 << 16, 1 << 22
 CACHED_WORDS = 100_000
 #: The rules of the vocabulary file that the fast path reproduces.
 CUTS = [
@@ -68,8 +70,8 @@ class Encoder:
     The vocabulary drops white space, lowers, and merges only inside the pieces its pattern cuts: runs of
     letters, single digits, runs of anything else.  Words of ASCII and Latin-1 letters are cut, lowered
     and hashed for a whole batch in numpy; their pieces' ids stand in an open-addressing table (key:
-    64-bit hash and a tag of length and outer bytes) that is emptied when half full.  A word with
-    anything else in it (other scripts, apostrophes, control characters, a ``<`` that could begin a
+    64-bit hash and a tag of length and outer bytes) that doubles when half full and is emptied at SLOTS.
+    A word with anything else in it (other scripts, apostrophes, control characters, a ``<`` that could begin a
     special token) goes whole through the full tokenizer.  A tokenizer with other normalising or cutting
     rules than these encodes each text whole.
     """
@@ -84,13 +86,27 @@ class Encoder:
         self.cuts = [rules["normalizer"], rules["pre_tokenizer"]] == CUTS
         self.pieces = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": CUTS[1]["pretokenizers"][1]}))
         self.words: dict[bytes, list[int]] = {}
-        self._empty()
+        self._empty(FIRST_SLOTS)
 
-    def _empty(self) -> None:
-        self.known = Slots(SLOTS)
-        self.first, self.size = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+    def _empty(self, slots: int) -> None:
+        self.known = Slots(slots)
+        self.first, self.size = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self.pool, self.pooled = np.zeros(1 << 20, np.uint32), 0
 
+    def _room(self, more: int) -> None:
+        """Room for so many more pieces: a larger table, in which known ones have other slots, or an empty one."""
+        slots = self.known.size
+        while slots < SLOTS and self.known.held + more > slots // 2:
+            slots *= 2
+        if self.known.held + more > slots // 2:
+            self._empty(slots)
+        elif slots > self.known.size:
+            old, there = self.known, np.flatnonzero(self.known.keys)
+            first, size = self.first[there], self.size[there]
+            self.known, self.first, self.size = Slots(slots), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+            slot = self.known.put(old.keys[there], old.tags[there])
+            self.first[slot], self.size[slot] = first, size
+
     def _put(self, keys: np.ndarray, tags: np.ndarray, ids: list[list[int]]) -> None:
         size = np.array([len(x) for x in ids], np.int32)
         flat = np.array([y for x in ids for y in x], np.uint32)
@@ -157,9 +173,10 @@ class Encoder:
         plain = np.flatnonzero(~whole)
         slot[plain] = self.known.find(keys[plain], tags[plain])
         new = plain[slot[plain] < 0]
-        if self.known.held + len(new) > SLOTS // 2 and self.known.held + len(np.unique(keys[new])) > SLOTS // 2:
-            self._empty()
-            new = plain
+        if self.known.held + len(new) > self.known.size // 2:
+            self._room(len(np.unique(keys[new])))
+            slot[plain] = self.known.find(keys[plain], tags[plain])
+            new = plain[slot[plain] < 0]
         raw = low.tobytes() if len(new) else b""
         # a second round only for pieces of equal hash and different tag
         while len(new):
@@ -370,7 +387,7 @@ def _shards(path: str):
             payload = pack(docs, np.concatenate(counts), np.concatenate(ids), encode.vocabulary)
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((part, pa.int64()), (seq, pa.int64()), (before, pa.int64()), (held, pa.int64()), (payload, pa.binary()))], names=["part", "seq", "before", "n_tokens", "payload"])
 
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SLICE_BYTES):
             some, n = encode(batch.column("text"))
             names, ends, at = batch.column("doc_id").to_pylist(), np.cumsum(n), 0
             while at < len(n):
@@ -399,12 +416,12 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     ``part, seq`` order the shards, ``before`` counts the ids before the shard in its part.  Null text is
     empty and still has its end id.  An empty table has no shard.  Repeated rows each have their ids; other
     columns are ignored.  A task holds one shard's ids (4 bytes each; a longer single text is a shard of its
-    own) and, while it encodes, some 45 times a slice of 2 MB of text, or 12 times a longer single text.
+    own) and, while it encodes, some 45 times a slice of 1 MB of text, or 12 times a longer single text.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     rows = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return rows.mapInArrow(released(_shards(tokenizer_path)), SHARDS)
+    return in_arrow(rows, _shards(tokenizer_path), SHARDS)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +447,7 @@ def documents(shards: DataFrame) -> DataFrame:
     order = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("part_start"))
     rows = shards.join(F.broadcast(sums), "part").select((F.col("part_start") + F.col("before")).alias("base"), "payload")
-    return rows.mapInArrow(released(_documents), DOCS)
+    return in_arrow(rows, _documents, DOCS)
 
 
 def token_output(docs: DataFrame, tokenizer_path: str) -> DataFrame:

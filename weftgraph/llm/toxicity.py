@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftgraph.llm.decontamination import lowered
 from weftgraph.llm.labelled import TRAIN_ROWS, held_out, training_rows
-from weftgraph.llm.shared import partitions, released, trim
+from weftgraph.llm.shared import in_arrow, partitions, trim
 from weftgraph.llm.words import ODD, U, Slots, buffers, chunks, mix64, named, spans
 
 LENGTHS = (2, 3, 4, 5, 6)
@@ -36,6 +36,8 @@ REJECT = 0.5
 KNOWN = 1 << 20
 #: Rows that the fit goes through at a time.
 BLOCK_ROWS = 1000
+#: Bytes of text whose n-grams a task holds at a time (a longer single text is held whole).
+SLICE_BYTES = 1 << 20
 
 
 @dataclass
@@ -98,7 +100,7 @@ def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", SLICE_BYTES):
         w = Words.of(batch.column("text"))
         sizes = np.bincount(w.doc, minlength=batch.num_rows)
         yield _packed(batch.column("id").to_numpy(), batch.column("y").to_numpy().astype(np.int64), sizes, w.keys[w.word])
@@ -115,7 +117,7 @@ def _unpacked(df: DataFrame) -> Iterator[list[bytes]]:
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = Slots(KNOWN)
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", SLICE_BYTES):
         w = Words.of(batch.column("text"))
         if seen.held + len(w.keys) > KNOWN // 2:
             seen.clear()
@@ -282,10 +284,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = T
 
 def _word_lists(rows: DataFrame, n: int) -> tuple[np.ndarray, Lists]:
     """Keys of all distinct words, and their slots."""
-    known = rows.mapInArrow(released(_words), "key long, word binary").groupBy("key").agg(F.first("word").alias("word"))
+    known = in_arrow(rows, _words, "key long, word binary").groupBy("key").agg(F.first("word").alias("word"))
     runs = BUCKETS >> 16
     # partitions come in order and so do their rows, however many tasks made them
-    known = known.repartition(n, "key").sortWithinPartitions("key").mapInArrow(released(_slots), ", ".join(f"a{i} binary" for i in range(2 * runs + 1)))
+    known = in_arrow(known.repartition(n, "key").sortWithinPartitions("key"), _slots, ", ".join(f"a{i} binary" for i in range(2 * runs + 1)))
     keys, lists = [], Lists(BUCKETS)
     for raw in _unpacked(known):
         key = np.frombuffer(raw[0], np.int64)
@@ -300,7 +302,7 @@ def _row_lists(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, Lists]:
     order = np.argsort(keys)
     keys = keys[order]
     ids, y, sizes, sums, words = [], [], [], [], []
-    for raw in _unpacked(rows.mapInArrow(released(_rows), "a0 binary, a1 binary, a2 binary, a3 binary")):
+    for raw in _unpacked(in_arrow(rows, _rows, "a0 binary, a1 binary, a2 binary, a3 binary")):
         id_, label, size, key = (np.frombuffer(x, np.int64) for x in raw)
         ids.append(id_)
         y.append(label)
@@ -319,7 +321,7 @@ def _row_lists(rows: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, Lists]:
 
 def _scores(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.scores(batch.column("text")))], names=["doc_id", "score"])
 
     return run
@@ -332,13 +334,13 @@ def scored(docs: DataFrame, model: Model, threshold: float = REJECT) -> DataFram
     held out, other columns are ignored; a single text is held whole, some 46 times its size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_scores(shared)), "doc_id long, score double")
+    rows = in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _scores(shared), "doc_id long, score double")
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def _accepted(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", SLICE_BYTES):
             yield batch.filter(pa.array(model.value.scores(batch.column("text")) < threshold))
 
     return run
@@ -346,4 +348,4 @@ def _accepted(model, threshold: float):
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = REJECT) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
-    return docs.mapInArrow(released(_accepted(docs.sparkSession.sparkContext.broadcast(model), threshold)), docs.schema)
+    return in_arrow(docs, _accepted(docs.sparkSession.sparkContext.broadcast(model), threshold), docs.schema)
