@@ -30,6 +30,8 @@ from weftgraph.llm.words import CHUNK_BYTES, IS_WORD, ODD as GOLDEN, U, Slots, b
 END = 2
 SHARD_IDS = 1 << 21
 RULES_A_ROUND, LEAST_COUNT = 2600, 16
+#: Pairs that are looked up at a time.
+BLOCK_PAIRS = 1 << 16
 #: A text of more bytes is encoded in stretches.
 LONG_BYTES = 8 << 20
 #: Bytes of texts that are encoded at a time (a longer single text is a slice of its own).
@@ -253,13 +255,17 @@ def compress(ids: np.ndarray, counts: np.ndarray, terminals: int) -> tuple[np.nd
         at = slots(chosen)
         table[at[::-1]] = np.arange(len(chosen) - 1, -1, -1)
         kept = table[at] == np.arange(len(chosen))
-        rank = table[slots(key)]
-        hit = np.flatnonzero((rank < len(chosen)) & inner)
+        rank = np.empty(len(key), np.int16)
+        for i in range(0, len(key), BLOCK_PAIRS):
+            rank[i : i + BLOCK_PAIRS] = table[slots(key[i : i + BLOCK_PAIRS])]
+        # a shard has less than 2^32 ids
+        hit = np.flatnonzero((rank < len(chosen)) & inner).astype(np.uint32)
         hit = hit[chosen[rank[hit]] == key[hit]]
+        del key, some
         # of overlapping pairs take every other one from the left
         begin = np.concatenate([[True], np.diff(hit) > 1])
-        run = hit[np.maximum.accumulate(np.where(begin, np.arange(len(hit)), 0))]
-        hit = hit[(hit - run) % 2 == 0]
+        run = hit[np.maximum.accumulate(np.where(begin, np.arange(len(hit), dtype=np.uint32), np.uint32(0)))]
+        hit = hit[((hit - run) & 1) == 0]
         # a pair that others have left but one place to waits; if that holds for all, the most frequent goes alone
         its = rank[hit]
         kept &= np.bincount(its, minlength=len(chosen)) > 1
@@ -384,7 +390,9 @@ def _shards(path: str):
         ids: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            payload = pack(docs, np.concatenate(counts), np.concatenate(ids), encode.vocabulary)
+            flat = np.concatenate(ids)
+            ids.clear()
+            payload = pack(docs, np.concatenate(counts), flat, encode.vocabulary)
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((part, pa.int64()), (seq, pa.int64()), (before, pa.int64()), (held, pa.int64()), (payload, pa.binary()))], names=["part", "seq", "before", "n_tokens", "payload"])
 
         for batch in chunks(batches, "text", SLICE_BYTES):
