@@ -99,3 +99,35 @@ def test_predicate_variables_by_kind(spark, sf, text):
     for match in ("homo", "iso"):
         a, b = (sorted(map(tuple, query(x, text, match=match).collect())) for x in (g, stored))
         assert a == b
+
+
+def test_statistics_of_tables_are_those_of_their_terms(spark, sf):
+    from weftgraph.plans.stats import Stats
+
+    g = tables_graph(spark, sf, ("nation", "customer", "supplier", "orders", "documents", "labels"))
+    terms = Graph.of_triples(g.triples(), distinct=False)
+    for predicates in (None, ["<o_custkey>", "<c_nationkey>", "<s_nationkey>", "<lang>"]):
+        a, b = Stats.of(g, predicates), Stats.of(terms, predicates)
+        assert (a.triples, a.ends, a.common) == (b.triples, b.ends, b.common) and a.common
+
+
+def test_statistics_of_tables_write_no_terms(spark, sf, monkeypatch):
+    from weftgraph.plans.stats import Stats
+
+    monkeypatch.setattr(Graph, "triples", None)
+    s = Stats.of(tables_graph(spark, sf), ["<l_orderkey>", "<l_suppkey>"])
+    assert s.common["<l_orderkey>", "s", "<l_suppkey>", "s"] == s.ends["<l_orderkey>", "s"] > 0
+
+
+def test_a_frequent_value_does_not_join_early():
+    from weftgraph.plans.planner import Scan, order
+    from weftgraph.plans.stats import Stats
+    from weftgraph.sparql.ast import Pattern
+
+    # 60,000 suppliers and 900,000 customers of 25 nations: pairs by nation outnumber everything else
+    triples = {"<l_orderkey>": 36_000_000, "<l_suppkey>": 36_000_000, "<o_custkey>": 9_000_000, "<c_nationkey>": 900_000, "<s_nationkey>": 60_000}
+    ends = {("<l_orderkey>", "o"): 9_000_000, ("<l_suppkey>", "o"): 60_000, ("<o_custkey>", "o"): 900_000, ("<c_nationkey>", "o"): 25, ("<s_nationkey>", "o"): 25}
+    stats = Stats(triples, ends | {(p, "s"): n for p, n in triples.items()})
+    parts = [[("?l", "<l_orderkey>", "?o"), ("?l", "<l_suppkey>", "?s")], [("?o", "<o_custkey>", "?c")], [("?c", "<c_nationkey>", "?n")], [("?s", "<s_nationkey>", "?n")]]
+    scans = [Scan([Pattern(*p) for p in x], frozenset(t for p in x for t in p if t[0] == "?")) for x in parts]
+    assert [s.patterns[0].p for s in order(scans, stats)] == ["<s_nationkey>", "<l_orderkey>", "<o_custkey>", "<c_nationkey>"]
