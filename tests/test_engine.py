@@ -131,3 +131,23 @@ def test_a_frequent_value_does_not_join_early():
     parts = [[("?l", "<l_orderkey>", "?o"), ("?l", "<l_suppkey>", "?s")], [("?o", "<o_custkey>", "?c")], [("?c", "<c_nationkey>", "?n")], [("?s", "<s_nationkey>", "?n")]]
     scans = [Scan([Pattern(*p) for p in x], frozenset(t for p in x for t in p if t[0] == "?")) for x in parts]
     assert [s.patterns[0].p for s in order(scans, stats)] == ["<s_nationkey>", "<l_orderkey>", "<o_custkey>", "<c_nationkey>"]
+
+
+def test_unbound_rows_meet_in_many_parts(spark):
+    from pyspark.sql import functions as F
+
+    from weftgraph.operators.bindings import Rel, join
+    from weftgraph.terms import TERM
+
+    side = lambda v, n: Rel(spark.range(n).select(F.concat(F.lit(f"<{v}"), "id", F.lit(">")).alias(f"v_{v}"), F.when(F.col("id") % 10 == 0, F.lit('"q"')).alias("v_q")), {f"?{v}": TERM, "?q": TERM}, frozenset(["?q"]))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(old, ("false", "-1")):
+            spark.conf.set(k, v)
+        rel = join(side("a", 6000), side("b", 50))
+        found = rel.df.withColumn("at", F.spark_partition_id()).groupBy("at").agg(F.count("*").alias("n"), F.count_distinct("v_a", "v_b").alias("d"), F.count("v_q").alias("q")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in found) == sum(r.d for r in found) == 5400 * 45 + 600 * 5 and sum(r.q for r in found) == 600 * 5
+    assert rel.maybe == {"?q"} and max(r.n for r in found) < 0.6 * 5400 * 45
