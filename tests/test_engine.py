@@ -5,7 +5,7 @@ import pytest
 from weftgraph.graph import Graph
 from weftgraph.operators import index, signature, update
 from weftgraph.plans.compile import query
-from weftgraph.queries import links
+from weftgraph.queries import QUERIES, links
 from weftgraph.service import Catalog
 from weftgraph.sources import turtle
 from weftgraph.sources.tables import tables_graph
@@ -53,6 +53,43 @@ def test_index_in_parts(spark, sf, name):
     assert {k: sorted(v) for k, v in parts.items()} == whole
 
 
+@pytest.mark.parametrize("name", [n for n, (_, values) in index.INDEXES.items() if values[-1] == "s"])
+def test_lists_of_subjects_are_made_from_their_parts(spark, tmp_path, monkeypatch, name):
+    made = {
+        "customer": "values (1, 'a', 7, 'x'), (10, 'a', 7, null), (2, 'x', null, 'x'), (-3, 'x', 7, 'x'), (100, 'a', 7, 'x'), (12345, 'a', 1, 'x'), (1234, 'a', 7, 'x'), (null, 'b', 7, 'x') t(c_custkey, c_name, c_nationkey, c_mktsegment)",
+        "lineitem": "values (1L, 5L, 2L, 1, 'A', 'A'), (1L, 5L, 2L, 1, 'A', 'B'), (1L, 5L, 2L, 1, 'B', 'A'), (10L, null, 2L, 1, 'A', 'A'), (9L, 5L, 3L, 2, null, 'A'), (11L, 6L, 3L, 2, '\\'A', ',') t(l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus)",
+        "documents": "values (1L, 'x', '1'), (2L, '1', null), (30L, '0', '0') t(doc_id, lang, source)",
+        "labels": "values (1L, 1, 1), (2L, 1, 0), (30L, null, 0) t(doc_id, quality, toxic)",
+        "region": "select 1L as r_regionkey, 'x' as r_name where false",
+    }
+    for table, rows in made.items():
+        spark.sql(rows if rows.startswith("select") else f"select * from {rows}").write.parquet(f"{tmp_path}/{table}.parquet")
+    g = tables_graph(spark, str(tmp_path), tuple(made))
+    names = ["<c_name>", "<c_nationkey>", "<c_mktsegment>", "<l_orderkey>", "<l_partkey>", "<l_suppkey>", "<l_returnflag>", "<l_linestatus>", "<lang>", "<source>", "<quality>", "<toxic>", "<r_name>"]
+    keys, values = index.INDEXES[name]
+    want = {}
+    for r in g.triples(names).where("s is not null").distinct().collect():
+        want.setdefault(tuple(r[k] for k in keys), set()).add(" ".join(r[v] for v in values))
+    monkeypatch.setattr(index, "RANGE", 2)
+    parts = index.subject_texts(g, names, name)
+    # no triples of all tables are made distinct, no list of a key is gathered as terms
+    monkeypatch.setattr(Graph, "triples", None)
+    got = {tuple(r[k] for k in keys): (r.list, r.size) for r in index.subject_lists(g, names, name).collect()}
+    assert got == {k: (",".join(sorted(v)), len(v)) for k, v in want.items()}
+    held = {}
+    for r in sorted(parts.collect(), key=lambda r: r.text):
+        assert 0 < r.size < 8
+        held.setdefault(tuple(r[k] for k in keys), []).append(r.text)
+    assert {k: ",".join(v) for k, v in held.items()} == {k: v[0] for k, v in got.items()}
+    assert max(map(len, held.values())) > 3
+
+
+@pytest.mark.parametrize("name", ["p2s"])
+def test_index_queries_gather_no_triples(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(Graph, "triples", None)
+    assert QUERIES[f"index_{name}"](spark, sf).count() > 20
+
+
 def test_signatures_let_few_others_pass(spark, sf):
     rows = links(spark, sf)
     hit = signature.signatures(rows).where(signature.covers(signature.pattern([("<c_nationkey>", True, "<nation/3>")]))).select("term").collect()
