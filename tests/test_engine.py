@@ -84,7 +84,7 @@ def test_lists_of_subjects_are_made_from_their_parts(spark, tmp_path, monkeypatc
     assert max(map(len, held.values())) > 3
 
 
-@pytest.mark.parametrize("name", ["p2s", "o2s"])
+@pytest.mark.parametrize("name", ["p2s", "o2s", "o2ps"])
 def test_index_queries_gather_no_triples(spark, sf, monkeypatch, name):
     monkeypatch.setattr(Graph, "triples", None)
     assert QUERIES[f"index_{name}"](spark, sf).count() > 20
